@@ -5,29 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, pareto_mix, pivot_topk, token_files
-from .common import table
+from . import arc_warc, best_fit, line_dedup, pareto_mix, pivot_topk, quality, simhash, token_files, toxicity, winnowing
+from .common import id_remainder, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.pages_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_mix, op6_token_files, op9_topk)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_warc, op3_toxicity, op4_mix, op5_winnowing, op6_token_files, op7_line_dedup, op8_best_fit, op9_topk, op10_simhash)
+}
 
 ORACLES = {
     "op2_warc": """
@@ -37,6 +70,22 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
         FROM q""",
+    "op7_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, pos, ls[pos + 1] AS line
+            FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+        d AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l WHERE length(line) >= 16 GROUP BY line),
+        near AS (SELECT DISTINCT a.line FROM d a, d b
+                 WHERE a.n <= 1000 AND b.n <= 1000 AND b.n IN (a.n - 1, a.n, a.n + 1) AND b.first < a.first
+                   AND (left(a.line, 3) = left(b.line, 3) OR right(a.line, 3) = right(b.line, 3))
+                   AND levenshtein(a.line, b.line) = 1),
+        m AS (SELECT l.doc_id, l.pos, {'d': l.doc_id, 'p': l.pos} = d.first AS is_first, near.line IS NOT NULL AS is_near
+              FROM l JOIN d ON l.line = d.line LEFT JOIN near ON near.line = l.line),
+        c AS (SELECT doc_id, count(*) FILTER (WHERE NOT is_first) AS e, count(*) FILTER (WHERE is_first AND is_near) AS f FROM m GROUP BY doc_id),
+        t AS (SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n FROM documents)
+        SELECT t.doc_id, CAST(n AS INTEGER) AS n_lines, CAST(coalesce(e, 0) AS INTEGER) AS equal_lines, CAST(coalesce(f, 0) AS INTEGER) AS near_lines,
+               CAST(n - coalesce(e, 0) - coalesce(f, 0) AS INTEGER) AS kept_lines
+        FROM t LEFT JOIN c ON t.doc_id = c.doc_id""",
     "op9_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings

@@ -1,20 +1,66 @@
-"""From documents to packed training windows: five stages, each written and read again."""
+"""From documents to packed training windows: five stages, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return its
+columns.  Null or empty texts, ties, repeated rows, empty tables and further columns are handled as
+the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelake.llm import best_fit, line_dedup, pareto_mix, simhash, toxicity
+from codelake.llm.common import fresh_path, materialise, table
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars again, where a stage has rewritten the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go; the machine learns from the labels of ``sf_dir``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=True).where("toxicity_score < 0.5").select(*docs.columns)
 
-from codelake.llm import pareto_mix
-from codelake.llm.common import fresh_path, table
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier, or one character apart from an earlier one, go; documents stay."""
+    return _measured(line_dedup.without_repeated_lines(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays, once."""
+    groups = materialise(simhash.similar_documents(docs), "groups")
+    kept = groups.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    stays = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if repeated.isEmpty():
+        return stays.select(*docs.columns)
+    once = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stays.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
     return pareto_mix.mixed_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows; copies of a document never share one."""
+    return best_fit.pack(docs)
+
+
+STAGES = [
+    ("drop_toxic", drop_toxic),
+    ("dedup_lines", dedup_lines),
+    ("drop_near_copies", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
 
-#: The mix draws by a hash that SQL engines don't share; the tests hold the stages against brute force.
+#: SQL can train no string kernel; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
