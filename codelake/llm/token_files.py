@@ -9,9 +9,10 @@ shards' lengths, so global positions need no second pass.  Readers map the files
 Tasks write to a name of their own and rename it, so a task that runs again replaces its shard by
 the same bytes.  Only one row per shard comes to the driver.
 
-Texts are split at single spaces between other characters (the pre-tokenizer always splits there)
-and each distinct piece is encoded once per worker, by the tokenizer; the bounded table of pieces is
-emptied when full.
+For byte-level BPE tokenizers, texts are split at single spaces between other characters (the
+pre-tokenizer always splits there), pieces by the pre-tokenizer's pattern, and each distinct part is
+encoded once per worker by the tokenizer's model; the tables of parts are bounded.  Other
+tokenizers, and texts that hold an added token, are encoded whole.
 
 Edge cases: null and empty texts have the end id alone; null document ids come first and are read
 back as null; equal ids stay next to each other; an empty table gives an empty data set; further
@@ -20,9 +21,11 @@ columns play no part.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,51 +34,65 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise
+from .common import fresh_path
 
-#: Where a space isn't a safe place to cut, because white space stands next to it or the text ends.
-_UNSAFE = re.compile(r"\s | \s|^ | $|[\x1c-\x1f\x85]")
+#: Where a space isn't a safe place to cut, because white space stands next to it or the text begins with it.
+_UNSAFE = re.compile(r"\s | \s|^ |[\x1c-\x1f\x85]")
+_SAFE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _NULL_ID = np.iinfo(np.int64).min
 
 
+class _Table(dict):
+    """Ids as bytes, made when first asked for; of a full table, what is asked for again goes on."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
 class PieceEncoder:
     """Ids of a text as little-endian bytes."""
 
-    def __init__(self, tokenizer_file: str, dtype: str, most_pieces: int = 400_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most_pieces: int = 300_000):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.most = Tokenizer.from_file(tokenizer_file), dtype, most_pieces
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, words = np.array(got.ids, dtype=self.dtype), np.array([w if w is not None else -1 for w in got.word_ids], dtype=np.int64)
-            starts = np.searchsorted(words, np.arange(len(part) + 1))
-            raw, width = ids.tobytes(), ids.itemsize
-            for piece, x, y in zip(part, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                self.known[piece] = raw[x * width : y * width]
+        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_file), {"<u2": "H", "<u4": "I"}[dtype]
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        # a byte-level tokenizer splits by one pattern and maps bytes to letters; its model then merges each part alone
+        self.by_part = (
+            spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+        )
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        self.split, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
+        self.parts = _Table(self._part, most_pieces)
+        self.after_space = _Table(lambda w: self._piece(" " + w), most_pieces)
+
+    def _part(self, part: str) -> bytes:
+        mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split(piece)))
 
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() if len(text) < 64 else self._encode_by_blank(text)
-        return self._join(text.split(" "))
-
-    def _encode_by_blank(self, text: str) -> bytes:
-        return self._join(re.split(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])", text))
-
-    def _join(self, words: list[str]) -> bytes:
-        words = [words[0], *(" " + w for w in words[1:])]
-        known = self.known
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            self._learn([w for w in new if w])
-            known[""] = b""
-        return b"".join(map(known.__getitem__, words))
+        if not self.by_part or any(t in text for t in self.added):
+            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *rest = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.rstrip(" ").split(" ")
+        tail = "" if not text.endswith(" ") or _UNSAFE.search(text) else " "
+        return self._piece(first) + b"".join(map(self.after_space.__getitem__, rest)) + (self._piece(tail) if tail else b"")
 
 
 def _dtype(tokenizer_file: str, end_id: int) -> str:
@@ -84,52 +101,45 @@ def _dtype(tokenizer_file: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (with the end id) and the ids as bytes."""
-    dtype = _dtype(tokenizer_file, end_id)
-    end = np.array([end_id], dtype=dtype).tobytes()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(tokenizer_file, dtype)
-        for frame in frames:
-            ids = [encoder.encode(t or "") + end for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(b) // len(end) for b in ids], "ids": ids})
-
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, n_tokens long, ids binary")
-
-
 def _filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else "file://" + uri)
 
 
-def write_dataset(encoded: DataFrame, uri: str, *, width: int, tokens_per_shard: int = 4_000_000) -> list[tuple[int, int, int]]:
-    """Write the shards; (shard, documents, tokens) of each, ascending."""
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // tokens_per_shard))
+def write_dataset(
+    docs: DataFrame, uri: str, tokenizer_file: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", bytes_per_shard: int = 12_000_000
+) -> list[tuple[int, int, int]]:
+    """Encode the documents and write the shards; (shard, documents, tokens) of each, ascending."""
+    dtype = _dtype(tokenizer_file, end_id)
+    end = np.array([end_id], dtype=dtype).tobytes()
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // bytes_per_shard))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, (filesystem, root) = TaskContext.get().partitionId(), _filesystem(uri)
+        shard, (filesystem, root), encoder = TaskContext.get().partitionId(), _filesystem(uri), PieceEncoder(tokenizer_file, dtype)
         filesystem.create_dir(root, recursive=True)
         own, n_docs, at = f"{root}/.{shard:07d}-{uuid.uuid4().hex}", 0, 0
         names = ("tokens", "offsets", "docs")
         out = {n: filesystem.open_output_stream(f"{own}.{n}") for n in names}
         for frame in frames:
-            starts = at + np.cumsum(np.concatenate([[0], frame["n_tokens"].to_numpy()]))
-            out["tokens"].write(b"".join(frame["ids"]))
-            out["offsets"].write(starts[:-1].astype("<u8").tobytes())
-            out["docs"].write(frame["doc_id"].to_numpy().astype("<i8").tobytes())
-            n_docs, at = n_docs + len(frame), int(starts[-1])
+            for a in range(0, len(frame), 256):
+                part = frame.iloc[a : a + 256]
+                ids = [encoder.encode(t) + end for t in part["text"]]
+                starts = at + np.cumsum([0, *(len(b) // len(end) for b in ids)])
+                out["tokens"].write(b"".join(ids))
+                out["offsets"].write(starts[:-1].astype("<u8").tobytes())
+                out["docs"].write(part["doc_id"].to_numpy().astype("<i8").tobytes())
+                n_docs, at = n_docs + len(part), int(starts[-1])
         out["offsets"].write(np.array([at], dtype="<u8").tobytes())
         for n in names:
             out[n].close()
             filesystem.move(f"{own}.{n}", f"{root}/{shard:07d}.{n}")
         yield pd.DataFrame({"shard": [shard], "n_docs": [n_docs], "n_tokens": [at]})
 
-    ordered = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    rows = ordered.select("doc_id", "n_tokens", "ids").mapInPandas(run, "shard int, n_docs long, n_tokens long").collect()
+    ordered = narrow.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = ordered.select("doc_id", "text").mapInPandas(run, "shard int, n_docs long, n_tokens long").collect()
     return sorted((r.shard, r.n_docs, r.n_tokens) for r in rows)
 
 
@@ -166,5 +176,5 @@ def round_trip(docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, uri: st
     spark = docs.sparkSession
     uri = uri or fresh_path(spark, "token-files")
     width = int(_dtype(tokenizer_file, end_id)[-1])
-    encoded = materialise(encode_documents(docs, tokenizer_file, end_id=end_id, **columns), "token-ids")
-    return read_dataset(spark, uri, write_dataset(encoded, uri, width=width), width=width)
+    shards = write_dataset(docs, uri, tokenizer_file, end_id=end_id, **columns)
+    return read_dataset(spark, uri, shards, width=width)
