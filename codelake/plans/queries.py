@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import settle
 from ..functions.text import code_terms, key_of, language_of
-from ..operators import binding, chunking, evaluate, evidence, explore, lexical, reports, vectors
+from ..operators import binding, chunking, evaluate, evidence, explore, lexical, reports, structure, vectors
 from ..operators import search as ranking
 from ..sources import capture, snapshots
 
@@ -659,3 +659,49 @@ def report_validation(spark, sf_dir):
 @query("SELECT doc_id, sha256('v1:' || doc_id || ':' || sha256(text)) AS key FROM documents")
 def parse_cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", key_of(F.lit("v1"), "doc_id", F.sha2("text", 256)).alias("key"))
+
+
+def _code(spark, sf_dir) -> DataFrame:
+    """A Python file for each document: it imports a function of the next one and calls it, after a comment in the document's words."""
+    docs = table(spark, sf_dir, "documents")
+    own, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    comment = F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 40), r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " "), F.lit("\n"))
+    body = F.concat(F.lit("from .m"), after, F.lit(" import w"), after, F.lit("\n\n\nclass C"), own, F.lit(":\n    def w(self):\n        pass\n\n\ndef w"), own, F.lit("(x):\n    return w"), after, F.lit("(x)\n"))
+    files = docs.select("doc_id", F.lit("all").alias("repository_id"), F.lit("all").alias("snapshot_id"), F.concat(F.lit("pkg/m"), own, F.lit(".py")).alias("path"), F.concat(comment, body).cast("binary").alias("content"))
+    return capture.decoded(files)
+
+
+_CODE = r"""code AS (SELECT doc_id, 'pkg/m' || doc_id || '.py' AS path, '# ' || regexp_replace(left(text, 40), '[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', ' ', 'g') || chr(10) AS comment,
+    'from .m' || (doc_id + 1) || ' import w' || (doc_id + 1) || chr(10) || chr(10) || chr(10) AS head, 'class C' || doc_id || ':' || chr(10) AS cls, '    def w(self):' || chr(10) || '        pass' AS method,
+    'def w' || doc_id || '(x):' || chr(10) || '    return w' || (doc_id + 1) || '(x)' AS fn FROM documents),
+    placed AS (SELECT *, strlen(comment) + strlen(head) AS a FROM code)"""
+
+
+@query(f"""WITH {_CODE}, s AS (
+        SELECT path, 'C' || doc_id AS qualified_name, 'class' AS kind, a AS start_byte, a + strlen(cls) + strlen(method) AS end_byte FROM placed UNION ALL
+        SELECT path, 'C' || doc_id || '.w', 'method', a + strlen(cls) + 4, a + strlen(cls) + strlen(method) FROM placed UNION ALL
+        SELECT path, 'w' || doc_id, 'function', a + strlen(cls) + strlen(method) + 3, a + strlen(cls) + strlen(method) + 3 + strlen(fn) FROM placed)
+    SELECT path, qualified_name, kind, CAST(start_byte AS INTEGER) AS start_byte, CAST(end_byte AS INTEGER) AS end_byte FROM s""")
+def python_symbols(spark, sf_dir):
+    parsed = structure.extract_structure(_code(spark, sf_dir))
+    return structure.table_of(parsed, "symbols").select("path", "qualified_name", "kind", "start_byte", "end_byte")
+
+
+@query("""
+    SELECT 'pkg/m' || doc_id || '.py' AS path, 'w' || (doc_id + 1) AS name, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 'resolved' ELSE 'unresolved' END AS status,
+        CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 'pkg/m' || (doc_id + 1) || '.py' END AS target_path FROM documents""")
+def bound_calls(spark, sf_dir):
+    files = settle(_code(spark, sf_dir), "files")
+    parsed = settle(structure.extract_structure(files), "parsed")
+    part = lambda kind: structure.table_of(parsed, kind)
+    bound, edges = binding.bind(files, part("symbols"), part("imports"), part("refs"), part("barriers"))
+    calls = edges.where("kind = 'call'").select(F.col("source_path").alias("path"), F.col("target_symbol").alias("target"), "target_path")
+    return bound.where("role = 'call'").join(calls, ["path", "target"], "left").select("path", "name", "status", "target_path")
+
+
+@query("SELECT 'pkg/m' || doc_id || '.py' AS path, doc_id % 2 = 0 AS parse_hit, CAST(3 AS INTEGER) AS n_symbols FROM documents")
+def parse_reuse(spark, sf_dir):
+    files = settle(_code(spark, sf_dir), "files")
+    first = structure.extract_structure(files.where("doc_id % 2 = 0")).withColumn("key", key_of(F.lit(structure.VERSION), "path", "content_hash"))
+    found, _ = structure.reuse_parsed(files, settle(first, "cache"))
+    return found.select("path", "parse_hit", F.size("symbols").alias("n_symbols"))
