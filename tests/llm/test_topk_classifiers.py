@@ -37,7 +37,8 @@ def test_topk_against_brute_force(spark, kind, block):
 
 def test_pivots_eliminate_candidates():
     rng = np.random.default_rng(1)
-    v = np.floor(256 * (rng.normal(size=(400, 8))[rng.integers(0, 400, 3000)] + 0.01 * rng.normal(size=(3000, 8))))
+    v = rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.01 * rng.normal(size=(3000, 8))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))  # of equal length, as embeddings are
     search = pivot_topk._Search(np.arange(0, 3000, 50), v[::50], v[:16], 5)
     for a in range(0, 3000, 1000):
         search.add(np.arange(a, a + 1000), v[a : a + 1000])
