@@ -27,6 +27,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,6 +96,12 @@ class PieceEncoder:
         return self._piece(first) + b"".join(map(self.after_space.__getitem__, rest)) + (self._piece(tail) if tail else b"")
 
 
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str, dtype: str) -> PieceEncoder:
+    """One for all tasks that a worker runs, so that its tables go on."""
+    return PieceEncoder(tokenizer_file, dtype)
+
+
 def _dtype(tokenizer_file: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
@@ -118,7 +125,7 @@ def write_dataset(
     shards = max(1, -(-total // bytes_per_shard))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, (filesystem, root), encoder = TaskContext.get().partitionId(), _filesystem(uri), PieceEncoder(tokenizer_file, dtype)
+        shard, (filesystem, root), encoder = TaskContext.get().partitionId(), _filesystem(uri), _encoder(tokenizer_file, dtype)
         filesystem.create_dir(root, recursive=True)
         own, n_docs, at = f"{root}/.{shard:07d}-{uuid.uuid4().hex}", 0, 0
         names = ("tokens", "offsets", "docs")
