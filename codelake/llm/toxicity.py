@@ -22,7 +22,6 @@ predicted); null ids and repeated rows are scored like others; further columns a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,20 +72,13 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner += [i] * len(found)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     rows, starts = np.repeat(np.arange(len(parts)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-    codes = np.zeros((len(parts), LONGEST), dtype=np.int64)
-    letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    codes = np.zeros((len(parts), LONGEST), dtype=np.int32)
+    letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
     codes[rows, np.arange(len(letters)) - starts + 1] = _codes(letters)
     codes[:, 0], codes[np.arange(len(parts)), sizes + 1] = _BEGIN, _END
     return codes, sizes + 2, np.array(owner, dtype=np.int64)
 
 
-def _triples(codes: np.ndarray, lengths: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the a-th triple of places: rows that reach it, and their letters as one number."""
-    i, j, k = _TRIPLES[a]
-    rows = np.flatnonzero(lengths > k)
-    return rows, (codes[rows, i] * LETTERS + codes[rows, j]) * LETTERS + codes[rows, k]
-
-
 def table_scores(table: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of weight times table entry over each row's triples, scaled by its length."""
     order = np.argsort(-lengths, kind="stable")
@@ -101,22 +93,29 @@ def table_scores(table: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> n
     return back / _NORM[np.minimum(lengths, LONGEST)]
 
 
-def features(codes: np.ndarray, lengths: np.ndarray) -> dict[int, dict[int, float]]:
-    """Explicit subsequence weights of a few rows (landmarks)."""
-    out: dict[int, dict[int, float]] = {r: {} for r in range(len(lengths))}
-    for a in range(len(_TRIPLES)):
-        for r, c in zip(*_triples(codes, lengths, a), strict=True):
-            out[int(r)][int(c)] = out[int(r)].get(int(c), 0.0) + _WEIGHTS[a] / _NORM[lengths[r]]
+def features(codes: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Explicit subsequence weights (triples, weights) of a few rows (landmarks)."""
+    out = []
+    for row, n in zip(codes.astype(np.int64), lengths, strict=True):
+        inside = _TRIPLES[:, 2] < n
+        i, j, k = _TRIPLES[inside].T
+        out.append(((row[i] * LETTERS + row[j]) * LETTERS + row[k], _WEIGHTS[inside] / _NORM[n]))
     return out
 
 
+def folded(words: list[str], beta: np.ndarray) -> np.ndarray:
+    """One table over triples for the weighted sum of the words' kernels."""
+    found = features(*coded(words)[:2])
+    triples, weights = np.concatenate([t for t, _ in found]), np.concatenate([b * w for b, (_, w) in zip(beta, found, strict=True)])
+    return np.bincount(triples, weights=weights, minlength=LETTERS**3)
+
+
 def kernels(landmarks: list[str], words: list[str]) -> np.ndarray:
     """Kernel of each word (the largest over its pieces) with each landmark."""
     codes, lengths, owner = coded(words)
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    for m, f in features(*coded(landmarks)[:2]).items():
-        table = np.zeros(LETTERS**3)
-        table[list(f)] = list(f.values())
+    for m, (triples, weights) in enumerate(features(*coded(landmarks)[:2])):
+        table = np.bincount(triples, weights=weights, minlength=LETTERS**3)
         np.maximum.at(out[:, m], owner, table_scores(table, codes, lengths).astype(np.float32))
     return out
 
@@ -139,15 +138,22 @@ class Model:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
-    x = np.c_[x, np.ones(len(x))]
-    small = 1e-3 * np.eye(x.shape[1])
-    loss = lambda t: (cost * np.maximum(0.0, 1 - y * (x @ t)) ** 2).sum() + t @ small @ t
-    theta = np.zeros(x.shape[1])
+    width = x.shape[1] + 1
+    small = 1e-3 * np.eye(width)
+    margins = lambda t: x @ t[:-1].astype(x.dtype) + t[-1]
+    loss = lambda t: (cost * np.maximum(0.0, 1 - y * margins(t)) ** 2).sum() + t @ small @ t
+    theta = np.zeros(width)
     now = loss(theta)
     for _ in range(steps):
-        inside = y * (x @ theta) < 1
-        weighted = x[inside] * cost[inside, None]
-        step = np.linalg.solve(weighted.T @ x[inside] + small, weighted.T @ y[inside]) - theta
+        inside = np.flatnonzero(y * margins(theta) < 1)
+        gram, right = small.copy(), np.zeros(width)
+        for a in range(0, len(inside), 1024):  # in blocks: the driver has little memory
+            rows = inside[a : a + 1024]
+            part = np.c_[x[rows], np.ones(len(rows))].astype(np.float64)
+            weighted = part * cost[rows, None]
+            gram += weighted.T @ part
+            right += weighted.T @ y[rows]
+        step = np.linalg.solve(gram, right) - theta
         share = 1.0
         while share > 1e-3 and loss(theta + share * step) > now:
             share /= 2
@@ -171,34 +177,58 @@ def _best_cut(margins: np.ndarray, y: np.ndarray) -> float:
     return float((m[i] + m[i + 1]) / 2)
 
 
+def _bags(texts: list[str]) -> tuple[list[list[np.ndarray]], dict[str, int]]:
+    """Each text's sentences as numbers of their words, and the words' numbers."""
+    vocabulary: dict[str, int] = {}
+    bags = []
+    for text in texts:
+        bag = []
+        for sentence in _SENTENCE.split(text):
+            words = (_EDGE.sub("", w) for w in words_of(sentence))
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words if 3 <= len(w) <= LONGEST - 2]
+            if ids:
+                bag.append(np.array(ids, dtype=np.int32))
+        bags.append(bag)
+    return bags, vocabulary
+
+
+def _before(s: np.ndarray) -> np.ndarray:
+    """The word before each (one more than its number), 0 at the beginning."""
+    return np.r_[0, s[:-1] + 1]
+
+
+def _after(s: np.ndarray) -> np.ndarray:
+    return np.r_[s[1:] + 1, 0]
+
+
 def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int = 4, hard: int = 4000, seed: int = 3) -> Model:
     """A model from whole labelled texts."""
     empty = Model(np.zeros(LETTERS**3), -1e-3, 1.0)
     if len(set(labels)) < 2:
         return empty
-    bags = [[[p for w in words_of(s) if 3 <= len(p := _EDGE.sub("", w)) <= LONGEST - 2] for s in _SENTENCE.split(t)] for t in texts]
+    bags, vocabulary = _bags(texts)
+    names = list(vocabulary)
     # how often a word stands between different neighbours: copies of a text don't count again
-    between: dict[int, set] = {0: set(), 1: set()}
-    for bag, label in zip(bags, labels, strict=True):
-        for sentence in bag:
-            between[label].update(zip(["", *sentence], sentence, [*sentence[1:], ""], strict=False))
-    seen = {label: Counter(w for _, w, _ in found) for label, found in between.items()}
-    n = {label: len(found) for label, found in between.items()}
+    seen = [np.zeros(len(names), dtype=np.int64) for _ in (0, 1)]
+    for label in (0, 1):
+        own = [sentence for bag, y in zip(bags, labels, strict=True) if y == label for sentence in bag]
+        before, word, after = (np.concatenate([part(s) for s in own]).astype(np.int64) if own else np.zeros(0, np.int64) for part in (_before, np.asarray, _after))
+        places = np.unique((before * (len(names) + 1) + word) * (len(names) + 1) + after)
+        seen[label] = np.bincount(places // (len(names) + 1) % (len(names) + 1), minlength=len(names) + 1)[: len(names)]
     # telling words stand in toxic documents so often that chance doesn't explain it for any word (likelihood ratio)
-    share, enough = n[1] / max(1, n[0] + n[1]), np.log(max(1, len(seen[0].keys() | seen[1].keys())) / 0.01)
-
-    def evidence(w: str) -> float:
-        c1, c0 = seen[1][w], seen[0][w]
-        if c1 < 0.9 * (c1 + c0):
-            return 0.0
-        return c1 * np.log(c1 / ((c1 + c0) * share)) + (c0 * np.log(c0 / ((c1 + c0) * (1 - share))) if c0 else 0.0)
-
-    weight = {w: e for w in seen[1] if (e := evidence(w)) > enough}
-    telling = sorted(weight, key=lambda w: (-weight[w], w))
-    plain = sorted(w for w in seen[0] if w not in weight)
+    n = [int(c.sum()) for c in seen]
+    share, enough = n[1] / max(1, n[0] + n[1]), np.log(max(1, len(names)) / 0.01)
+    clean, toxic = (c.astype(float) for c in seen)
+    both = np.maximum(clean + toxic, 1.0)
+    ratio = toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(both * (1 - share), 1e-9))
+    ratio = np.where(toxic >= 0.9 * both, ratio, 0.0)
+    telling_ids = np.flatnonzero(ratio > enough)
+    telling_ids = sorted(telling_ids.tolist(), key=lambda i: (-ratio[i], names[i]))
+    telling = [names[i] for i in telling_ids]
+    plain_ids = sorted(np.flatnonzero((clean > 0) & (ratio <= enough)).tolist(), key=names.__getitem__)
+    plain = [names[i] for i in plain_ids]
     if not telling or not plain:
         return empty
-    folded = lambda words, beta: sum((np.bincount(list(f), weights=beta[m] * np.array(list(f.values())), minlength=LETTERS**3) for m, f in features(*coded(words)[:2]).items()), np.zeros(LETTERS**3))
     like = Model(folded(telling, np.ones(len(telling)) / len(telling)), 0.0, 1.0).margins(plain)
     by_likeness = np.argsort(-like, kind="stable")
     chosen = telling[: landmarks // 2] + [plain[i] for i in by_likeness[: landmarks // 2]]
@@ -207,7 +237,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
     white = vectors[:, keep] / np.sqrt(values[keep])
     others = np.random.default_rng(seed).permutation(len(plain))[:hard]
     used = dict.fromkeys([*by_likeness[:hard].tolist(), *others.tolist()])
-    project = lambda words: kernels(chosen, words).astype(np.float64) @ white
+    project = lambda words: kernels(chosen, words) @ white.astype(np.float32)
     x_toxic, x_plain = project(telling), project([plain[i] for i in used])
     for _ in range(rounds):
         x, y = np.r_[x_toxic, x_plain], np.r_[np.ones(len(x_toxic)), -np.ones(len(x_plain))]
@@ -220,10 +250,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
         used.update(dict.fromkeys(worst))
         x_plain = np.r_[x_plain, project([plain[i] for i in worst])]
     # labelled sentences decide where the threshold lies: of each clean document the worst, of toxic ones those with a telling word
-    known = dict(zip(plain, model.margins(plain).tolist(), strict=True)) | dict(zip(telling, model.margins(telling).tolist(), strict=True))
-    of_toxic, margins, y = set(telling), [], []
+    known = np.full(len(names), -1.0)
+    known[plain_ids], known[telling_ids] = model.margins(plain), model.margins(telling)
+    tells = np.zeros(len(names), bool)
+    tells[telling_ids] = True
+    margins, y = [], []
     for bag, label in zip(bags, labels, strict=True):
-        worst = [max(known.get(w, -1.0) for w in s) for s in bag if s and (not label or not of_toxic.isdisjoint(s))]
+        worst = [known[s].max() for s in bag if not label or tells[s].any()]
         if worst:
             margins.append(max(worst))
             y.append(1 if label else -1)
@@ -231,7 +264,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
     return Model(model.table, model.bias - cut, 4.0)
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold: int = 5, held_out: int = 0, per_class: int = 1500) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold: int = 5, held_out: int = 0, per_class: int = 1000) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     usable = labels.where(F.col(label_col).isin(0, 1) & (id_remainder("doc_id", fold) != held_out)).select("doc_id", F.col(label_col).alias("y")).dropDuplicates(["doc_id"])
     sample = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
