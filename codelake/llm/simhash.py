@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 #: For documents: 256 bits; five-word shingles of Jaccard likeness 0.8 have a cosine of 0.89 and differ in 39 bits on average.
-DOCUMENT_BITS, DOCUMENT_RADIUS, TABLES, TABLE_BITS = 256, 44, 64, 20
+DOCUMENT_BITS, DOCUMENT_RADIUS, TABLES, TABLE_BITS = 256, 44, 160, 24
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
