@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 
-#: Where a space isn't a safe place to cut, because white space stands next to it or the text begins with it.
-_UNSAFE = re.compile(r"\s | \s|^ |[\x1c-\x1f\x85]")
+#: White space of any kind; next to one of these a space isn't a safe place to cut.
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+#: What libraries don't agree on.
+_ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
 _SAFE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -62,7 +64,7 @@ class _Table(dict):
 class PieceEncoder:
     """Ids of a text as little-endian bytes."""
 
-    def __init__(self, tokenizer_file: str, dtype: str, most_pieces: int = 300_000):
+    def __init__(self, tokenizer_file: str, dtype: str, most_pieces: int = 400_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -91,9 +93,10 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not self.by_part or any(t in text for t in self.added):
             return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = _SAFE_SPACE.split(text) if _UNSAFE.search(text) else text.rstrip(" ").split(" ")
-        tail = "" if not text.endswith(" ") or _UNSAFE.search(text) else " "
-        return self._piece(first) + b"".join(map(self.after_space.__getitem__, rest)) + (self._piece(tail) if tail else b"")
+        present = _SPACES.intersection(text)
+        safe = not present & _ODD and text[:1] != " " != text[-1:] and not any(f" {c}" in text or f"{c} " in text for c in present)
+        first, *rest = text.split(" ") if safe else _SAFE_SPACE.split(text)
+        return self._piece(first) + b"".join(map(self.after_space.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
