@@ -379,7 +379,7 @@ def definition_at(spark, sf_dir):
     SELECT request_id, CAST(doc_id AS VARCHAR) AS path, CAST(no AS INTEGER) AS ref_no FROM asked JOIN r USING (word) GROUP BY ALL""")
 def references_to(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("pos", "word"))
+    words = docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
     bound = words.select(F.lit("all").alias("snapshot_id"), "path", (F.col("pos") + 1).alias("ref_no"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"), F.array(F.concat(F.lit("x"), "word"), F.col("word")).alias("candidates"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.lit("all").alias("snapshot_id"), F.explode(F.array_distinct(F.split("text", " "))).alias("symbol_id"))
     return explore.references_to(asked, bound).select("request_id", "path", "ref_no")
