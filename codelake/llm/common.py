@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codelake-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -51,3 +49,25 @@ def uniform(seed: int, *cols: Column | str) -> Column:
 def id_remainder(col: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids give null."""
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary")) % modulus
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, n_col: str) -> DataFrame:
+    """Inner join with a stored table that has one row per key, and the key's number of rows in ``n_col``.
+
+    Keys with over a thousandth of all rows are fewer than a thousand: they are broadcast, so that no
+    task gets a hot key.  The others meet by a shuffle.
+    """
+    total = found.agg(F.sum(n_col)).first()[0] or 0
+    hot = found.where(F.col(n_col) > max(total / 1000, 1000))
+    if hot.isEmpty():
+        return rows.join(found.drop(n_col), key)
+    cold = found.where(F.col(n_col) <= max(total / 1000, 1000))
+    few = F.broadcast(hot.drop(n_col))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(n_col), key))
+
+
+def agreed_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id and y: one row per id that has labels 0 or 1, all the same; ids with both are left out."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
+    per_id = known.groupBy("doc_id").agg(F.min(label_col).alias("y"), F.max(label_col).alias("__most"))
+    return per_id.where("y = __most").select("doc_id", F.col("y").cast("int").alias("y"))

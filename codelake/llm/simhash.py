@@ -1,19 +1,22 @@
 """SimHash near-duplicates with a Gray-ordered hierarchical index.
 
-A document's fingerprint has bit i set if most of its shingles' XXH64 values have (for more than 64
-bits, each value gives several words by an integer mix).  Linking works on distinct fingerprints:
+A document's fingerprint has bit i set if most of its shingles' XXH64 values have.  Linking works on
+distinct fingerprints.  Of ``radius + 1`` blocks of bits, two fingerprints within the radius agree on
+one whole block at least; so there is one index for each block, over all fingerprints rotated so that
+this block leads, and a search in it allows no difference in the leading block.
 
-* Top of the index: masks.  Fingerprints that agree on a mask's bits share a node.  With ``exact``
-  masks (the bits cut into radius + 2 blocks, every choice of two blocks), any two fingerprints
-  within the radius agree on at least one mask, so no link is lost.  For a wide radius,
-  ``sampled_masks`` draws masks at random; a pair is missed with a known small probability.
-* Below: the members of a node in the order of their Gray rank, in leaves of ``LEAF`` and upper nodes
-  of ``LEAF`` leaves.  Each node factors out the bits that all below it share; a search adds up the
-  differences in the shared bits and drops whole groups once they exceed the radius.
+An index is the table in the order of the Gray rank of the rotated fingerprints, range-partitioned, so
+that what shares leading bits lies together.  In a task, runs of ``BLOCK`` members or more that end with
+a leading block are the leaves; leaves of ``LEAF`` members and upper nodes of ``LEAF`` nodes each factor
+out the masked bit pattern that all below share.  A search starts at the top, adds up the differences in
+shared bits, and drops whole groups once they exceed the radius.  Every fingerprint is searched for.
 
-Nodes of one member end before Python; members of larger ones are dealt by node, and a node of more
-than ``most`` members is cut into parts, every two of which meet in a task of their own.  Tasks emit a
-spanning forest of what they see, never all pairs; components are joined by alternating stars.
+A leading block with more than ``most`` members is one more upper node, made by Spark: its members are
+dealt by the next ``SPLIT`` bits, and each also asks, as a guest, the parts that differ from its own in
+``radius`` or fewer of them.  So no run exceeds what the bits left over can tell apart.
+
+Tasks emit a spanning forest of what they see, never all pairs; components are joined by alternating
+stars.  Fingerprints with very many rows are broadcast when the rows get their names.
 
 Edge cases: null text counts as empty; texts with fewer words than a shingle have one shingle of all
 words; without words the fingerprint is zero, linked like any other; repeated rows share a
@@ -28,13 +31,13 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 from .components import components
 
-LEAF = 16
+LEAF, BLOCK, SPLIT = 16, 1 << 16, 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -49,65 +52,24 @@ def shingle_hashes(text: str | None, size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """Another 64 bits for each value; word 0 gives the value itself."""
-    if not word:
-        return h
-    x = h + np.uint64((0x9E3779B97F4A7C15 * word) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def majority(h: np.ndarray, words: int = 1) -> list[int]:
-    """The fingerprint: bits that are set in over half of the values, as ``words`` unsigned numbers."""
-    out = []
-    for w in range(words):
-        counts = np.zeros(64, dtype=np.int64)
-        for a in range(0, len(h), 1 << 16):
-            part = np.ascontiguousarray(_mixed(h[a : a + (1 << 16)], w)).astype("<u8")
-            counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        bits = np.packbits(counts * 2 > len(h), bitorder="little")
-        out.append(int(bits.view("<u8")[0]))
-    return out
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: the bits that are set in over half of the values."""
+    counts = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(h), 1 << 16):
+        part = np.ascontiguousarray(h[a : a + (1 << 16)]).astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and fp, an array of ``words`` longs (the bits of unsigned numbers)."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """doc_id and fp, a long with the bits of the unsigned number."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hashes = (shingle_hashes(t, shingle) for t in frame["text"])
-            rows = [majority(np.unique(h) if distinct else h, words) for h in hashes]
-            fp = np.array(rows, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": list(fp)})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp array<long>")
-
-
-def exact_masks(radius: int, bits: int = 64) -> list[list[int]]:
-    """Every choice of two of radius + 2 blocks; one of them is untouched by any ``radius`` differences."""
-    edges = np.linspace(0, bits, radius + 3).astype(int)
-    blocks = [sum(1 << i for i in range(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return [_cut(a | b, bits) for a, b in combinations(blocks, 2)]
-
+            fp = np.fromiter((majority(shingle_hashes(t, shingle)) for t in frame["text"]), np.uint64, len(frame))
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
 
-def sampled_masks(tables: int, bits_each: int, bits: int, seed: int = 5) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [_cut(sum(1 << int(i) for i in rng.choice(bits, bits_each, replace=False)), bits) for _ in range(tables)]
-
-
-def _cut(mask: int, bits: int) -> list[int]:
-    return [(mask >> (64 * w)) & (2**64 - 1) for w in range(-(-bits // 64))]
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
-
-
-def _cells(fp: Column, masks: list[list[int]]) -> Column:
-    """The node at the top of the index, for each mask."""
-    return F.array(*(F.xxhash64(F.lit(i), *(fp[w].bitwiseAND(F.lit(_signed(m))) for w, m in enumerate(mask) if m)) for i, mask in enumerate(masks)))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -119,40 +81,42 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The hierarchical index over the members of one node."""
+    """The hierarchical index over members in Gray order; the ``lead`` highest bits may not differ."""
 
-    def __init__(self, fps: np.ndarray):
-        """fps: one row of 64-bit words for each member, already in Gray order."""
-        self.fps, self.levels = fps, []
+    def __init__(self, fps: np.ndarray, lead: int = 0):
+        self.fps, self.lead, self.levels = fps, np.uint64(64 - lead), []
         low, high = fps, fps  # bitwise and, or of all below
         while len(low) > LEAF:
             starts = np.arange(0, len(low), LEAF)
-            low, high = np.bitwise_and.reduceat(low, starts, axis=0), np.bitwise_or.reduceat(high, starts, axis=0)
+            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
             self.levels.append((low, ~(low ^ high)))  # pattern, shared bits
         self.levels.reverse()
 
+    def _near(self, differences: np.ndarray, radius: int) -> np.ndarray:
+        near = np.bitwise_count(differences) <= radius
+        return near & (differences >> self.lead == 0) if self.lead < 64 else near
+
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of queries, member) within the radius."""
         top = len(self.levels[0][0]) if self.levels else len(self.fps)
         q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
         for depth, (pattern, shared) in enumerate(self.levels):
-            near = np.bitwise_count((queries[q] ^ pattern[node]) & shared[node]).sum(axis=1) <= radius
+            near = self._near((queries[q] ^ pattern[node]) & shared[node], radius)
             q, node = q[near], node[near]
             below = len(self.levels[depth + 1][0]) if depth + 1 < len(self.levels) else len(self.fps)
             q, node = np.repeat(q, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
             q, node = q[node < below], node[node < below]
-        near = np.bitwise_count(queries[q] ^ self.fps[node]).sum(axis=1) <= radius
+        near = self._near(queries[q] ^ self.fps[node], radius)
         return q[near], node[near]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the same rows, one fewer than rows for each group."""
-    root = list(range(n))
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up] if root[up] != up else up
         return x
 
     out = []
@@ -164,218 +128,216 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def cell_links(nodes: np.ndarray, fps: np.ndarray, radius: int, queries_at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among the members of one cell."""
-    order = np.argsort(gray_rank(fps[:, 0]), kind="stable")
-    nodes, fps = nodes[order], fps[order]
-    index, left, right = GrayIndex(fps), [], []
+def block_links(nodes: np.ndarray, fps: np.ndarray, guest: np.ndarray, radius: int, lead: int, queries_at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links that one run's index finds; rows are in Gray order."""
+    hosts = np.flatnonzero(~guest)
+    index, left, right = GrayIndex(fps[hosts], lead), [], []
     for a in range(0, len(fps), queries_at_once):
         q, m = index.search(fps[a : a + queries_at_once], radius)
-        keep = q + a < m
-        pairs = _forest(q[keep] + a, m[keep], len(fps)) if len(fps) > queries_at_once else list(zip((q[keep] + a).tolist(), m[keep].tolist(), strict=True))
+        x, y = nodes[q + a], nodes[hosts[m]]
+        once = x < y  # both ask for each other
+        pairs = _forest(x[once], y[once])
         left += [x for x, _ in pairs]
         right += [y for _, y in pairs]
-    pairs = _forest(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), len(fps))
-    x = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return nodes[x[:, 0]], nodes[x[:, 1]]
+    pairs = np.array(_forest(np.array(left, np.int64), np.array(right, np.int64)), dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
 
+def _lead(radius: int) -> int:
+    return min(32, 64 // (radius + 1))
 
-def _small_cells(cell: np.ndarray, nodes: np.ndarray, fps: np.ndarray, radius: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among cells of up to ``size`` members, all at once; rows are in order of the cell."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d in range(1, min(size, len(cell))):
-        near = (cell[:-d] == cell[d:]) & (np.bitwise_count(fps[:-d] ^ fps[d:]).sum(axis=1) <= radius)
-        a.append(nodes[:-d][near])
-        b.append(nodes[d:][near])
-    return np.concatenate(a), np.concatenate(b)
 
+def _rotated(radius: int):
+    """One row for each block: the index and leading bits' rank in one number, the order, and the rotated fingerprint."""
+    lead = _lead(radius)
 
-def _search_cells(radius: int, tiny: int = 6):
-    def found(cell: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sizes = np.diff(np.r_[starts, len(cell)])
-        small = np.repeat(sizes <= tiny, sizes)
-        a, b = _small_cells(cell[small], nodes[small], fps[small], radius, tiny)
-        parts = [(a, b)] + [cell_links(nodes[s : s + n], fps[s : s + n], radius) for s, n in zip(starts, sizes, strict=True) if n > tiny]
-        links = pd.DataFrame({"a": np.concatenate([p[0] for p in parts]), "b": np.concatenate([p[1] for p in parts])})
-        return links.drop_duplicates()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fps = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            for i in range(radius + 1):
+                by = np.uint64(i * (64 // (radius + 1)))
+                turned = fps << by | fps >> np.uint64(64) - by if by else fps
+                rank = gray_rank(turned)
+                cell = (rank >> np.uint64(64 - lead)).astype(np.int64) + (i << lead)
+                order = (rank ^ np.uint64(1 << 63)).view(np.int64)  # signed numbers in the unsigned order
+                yield pd.DataFrame({"cell": cell, "rank": order, "node": frame["node"], "fp": turned.view(np.int64)})
 
-    return _by_part(lambda frame: [found(frame["part"].to_numpy(), frame["node"].to_numpy(), np.stack(frame["fp"].to_list()).view(np.uint64))])
+    return run
 
 
-def _by_part(found):
-    """Calls found with frames that have whole parts only; rows come in order of the part."""
+def _search_runs(radius: int):
+    lead = _lead(radius)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows["cell"].to_numpy() >> lead
+        edges = [0, *(np.flatnonzero(np.diff(table)) + 1).tolist(), len(table)]
+        parts = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some = rows.iloc[a:b]
+            parts.append(block_links(some["node"].to_numpy(), some["fp"].to_numpy(np.int64).view(np.uint64), some["guest"].to_numpy(bool), radius, lead))
+        return pd.DataFrame({"a": np.concatenate([p[0] for p in parts]), "b": np.concatenate([p[1] for p in parts])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for frame in frames:
             frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            last = frame["part"].to_numpy() == frame["part"].iloc[-1] if len(frame) else np.array([], bool)
-            kept, whole = frame[last], frame[~last]
-            if len(whole):
-                yield from found(whole)
+            kept = frame
+            if len(frame) >= BLOCK:  # all but the last leading block are complete
+                last = (frame[["cell", "part"]].to_numpy() == frame[["cell", "part"]].iloc[-1].to_numpy()).all(axis=1)
+                if not last.all():
+                    yield found(frame[~last])
+                    kept = frame[last]
         if kept is not None and len(kept):
-            yield from found(kept)
+            yield found(kept)
 
     return run
 
 
-def _dealt(keyed: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """part and the columns of nodes: the members of every cell that has several, in order of the part."""
-    shared = keyed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "cell")
-    parts = F.ceil(F.col("n") / most).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    members = members.select("node", "cell", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    members = members.select("node", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
-    return members.join(nodes, "node").select("part", *nodes.columns).repartition("part").sortWithinPartitions("part")
+def _split(rows: DataFrame, crowded: DataFrame, radius: int) -> DataFrame:
+    """Members of crowded leading blocks by their next bits, and as guests wherever these differ a little."""
+    patterns = [sum(1 << i for i in c) for n in range(1, radius + 1) for c in combinations(range(SPLIT), n)]
+    inside = rows.join(crowded, "cell")
+    part = F.shiftrightunsigned("fp", 64 - _lead(radius) - SPLIT).bitwiseAND((1 << SPLIT) - 1)
+    hosts = inside.select("cell", part.alias("part"), "rank", "node", "fp", F.lit(False).alias("guest"))
+    asks = F.explode(F.transform(F.array(*map(F.lit, patterns)), lambda p: part.bitwiseXOR(p.cast("long"))))
+    guests = inside.select("cell", asks.alias("part"), "rank", "node", "fp", F.lit(True).alias("guest"))
+    return hosts.unionByName(guests) if radius else hosts
 
 
-def links(nodes: DataFrame, masks: list[list[int]], radius: int, most: int = 4096) -> DataFrame:
-    """From distinct fingerprints (node long, fp) to links (a, b) that join all within the radius that share a cell."""
-    keyed = nodes.select("node", F.explode(_cells(F.col("fp"), masks)).alias("cell"))
-    return _dealt(keyed, nodes.select("node", "fp"), most).mapInPandas(_search_cells(radius), "a long, b long")
+def links(nodes: DataFrame, radius: int, most: int = 1 << 20) -> DataFrame:
+    """From distinct fingerprints (node, fp) to links (a, b) that join all that are within the radius."""
+    rows = materialise(nodes.select("node", "fp").mapInPandas(_rotated(radius), "cell long, rank long, node long, fp long"), "gray-rows")
+    crowded = materialise(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cell"), "crowded")
+    plain = lambda df: df.select("cell", F.lit(0).cast("long").alias("part"), "rank", "node", "fp", F.lit(False).alias("guest"))
+    if crowded.isEmpty():
+        dealt = plain(rows)
+    else:
+        dealt = plain(rows.join(crowded, "cell", "left_anti")).unionByName(_split(rows, crowded, radius))
+    ordered = dealt.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part", "rank")
+    return ordered.mapInPandas(_search_runs(radius), "a long, b long")
 
 
-def groups(fps: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+def groups(fps: DataFrame, radius: int) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) for every row of fingerprints."""
-    same = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("fp")), "fingerprints")
-    found = components(links(same.select("node", "fp"), masks, radius))
-    rooted = same.join(found, "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root"))
+    same = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprints")
+    found = components(links(same.select(F.col("fp").alias("node"), "fp"), radius))
+    rooted = same.join(found, same["fp"] == found["node"], "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(names, "root").select("fp", "n", "component_id"), "named")
+    return spread_join(fps, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """64-bit fingerprints, linked at ``radius`` or fewer differing bits, without loss."""
     fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    out = groups(fps, exact_masks(radius), radius)
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    out = groups(fps, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For documents: 256 bits; five-word shingles of Jaccard likeness 0.8 have a cosine of 0.89 and differ in 39 bits on average, with a deviation
-#: of 6; the search goes to three deviations, and what it finds is verified.
-DOCUMENT_BITS, DOCUMENT_RADIUS, TABLES, TABLE_BITS = 256, 56, 256, 24
+#: For documents: two sets of shingles with a likeness of 0.8 agree on a sample of 6 with 0.26, on one of 20 such samples at least with 0.998.
+SAMPLES, SAMPLE = 20, 6
+_FACTORS = np.random.default_rng(10).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _set_node(h: np.ndarray) -> int:
+def sampled_fingerprints(h: np.ndarray) -> np.ndarray:
+    """One fingerprint for each sample of a set of hashes: its SAMPLE values that are smallest after a multiplication."""
+    if len(h) > SAMPLE:
+        chosen = np.stack([h[np.argpartition(h * f, SAMPLE - 1)[:SAMPLE]] for f in _FACTORS])
+    else:
+        chosen = np.tile(h, (SAMPLES, 1))
+    bits = np.unpackbits(np.ascontiguousarray(chosen.astype("<u8")).view(np.uint8).reshape(SAMPLES, -1, 8), axis=2, bitorder="little")
+    return np.unique(np.packbits(bits.sum(axis=1, dtype=np.int64) * 2 > chosen.shape[1], axis=1, bitorder="little").view("<u8").ravel())
+
+
+def _set_number(h: np.ndarray) -> int:
     """The number of a set of shingles (its sorted distinct hashes)."""
     from xxhash import xxh64_intdigest
 
     return xxh64_intdigest(np.ascontiguousarray(h).astype("<u8").tobytes())
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, whole: bool) -> DataFrame:
-    """doc_id, node and size of every document's set of shingles, with the fingerprint or, if ``whole``, the set."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, whole: bool) -> DataFrame:
+    """doc_id, text_hash, and its set of shingles: node, size and either the set (``whole``) or its fingerprints, the whole set's first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in frame["text"]]
-            node = np.array([_set_node(h) for h in sets], dtype=np.uint64).view(np.int64)
-            values = [h.view(np.int64) for h in sets] if whole else list(np.array([majority(h, words) for h in sets], dtype=np.uint64).reshape(-1, words).view(np.int64))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "node": node, "size": [len(h) for h in sets], "value": values})
+            node = np.fromiter(map(_set_number, sets), np.uint64, len(sets)).view(np.int64)
+            values = sets if whole else [np.r_[np.uint64(majority(h)), sampled_fingerprints(h)] for h in sets]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_hash": frame["text_hash"], "node": node, "size": [len(h) for h in sets], "value": [v.view(np.int64) for v in values]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, node long, size long, value array<long>")
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return asked.mapInPandas(run, "doc_id long, text_hash long, node long, size long, value array<long>")
 
 
-def _mask_cells(nodes: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """node and its cell for each mask; made in batches, as so many expressions would fill the driver's plans."""
-    table = np.array(masks, dtype=np.uint64)
+def _alike(pairs: DataFrame, sets: DataFrame, share: int = 2000) -> DataFrame:
+    """The pairs whose sets have a Jaccard likeness of 0.8 or more; b's set goes to as many parts as it has thousands of partners."""
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(hubs, "b")
+    left = left.select("a", "b", "x", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y")).join(hubs, "b")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["b", "part"]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), 1024):
-                fps = np.stack(frame["fp"].iloc[a : a + 1024].to_list()).view(np.uint64)
-                cell = np.tile(np.arange(1, len(table) + 1, dtype=np.uint64), (len(fps), 1))
-                for w in range(table.shape[1]):
-                    cell = _mixed(cell ^ (fps[:, w : w + 1] & table[:, w]), w + 1)
-                yield pd.DataFrame({"node": np.repeat(frame["node"].to_numpy()[a : a + 1024], len(table)), "cell": cell.ravel().view(np.int64)})
-
-    return nodes.select("node", "fp").mapInPandas(run, "node long, cell long")
-
-
-def _stars(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Of each node's pairs those with its smallest, largest and nearest neighbour."""
-    both = pd.concat([pairs, pairs.rename(columns={"a": "b", "b": "a"})], ignore_index=True).sort_values(["a", "b"], kind="stable")
-    ends = pd.concat([both.drop_duplicates("a"), both.drop_duplicates("a", keep="last"), both.sort_values(["a", "d", "b"], kind="stable").drop_duplicates("a")])
-    return ends.drop_duplicates(["a", "b"])[["a", "b", "d"]]
-
-
-def _candidates(radius: int, stars: bool, tiny: int = 6, queries_at_once: int = 256):
-    """Pairs (a, b, d) of different groups within the radius, whose sizes allow a likeness of 0.8; with ``stars`` a few per node."""
-
-    def kept(nodes, fps, sizes, groups, x, y) -> pd.DataFrame:
-        fits = (groups[x] != groups[y]) & (5 * np.minimum(sizes[x], sizes[y]) >= 4 * np.maximum(sizes[x], sizes[y]))
-        x, y = x[fits], y[fits]
-        d = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1).astype(np.int64)
-        near = d <= radius
-        a, b = nodes[x[near]], nodes[y[near]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "d": d[near]}).drop_duplicates()
-
-    def found(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        cell, nodes, sizes, groups = (frame[c].to_numpy() for c in ("part", "node", "size", "group"))
-        fps = np.stack(frame["fp"].to_list()).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        counts = np.diff(np.r_[starts, len(cell)])
-        small = np.flatnonzero(np.repeat(counts <= tiny, counts))
-        parts = []
-        for k in range(1, min(tiny, len(small))):
-            same = cell[small[:-k]] == cell[small[k:]]
-            parts.append(kept(nodes, fps, sizes, groups, small[:-k][same], small[k:][same]))
-        for s, n in zip(starts[counts > tiny], counts[counts > tiny], strict=True):
-            rows = s + np.argsort(gray_rank(fps[s : s + n, 0]), kind="stable")
-            index = GrayIndex(fps[rows])
-            for a in range(0, n, queries_at_once):
-                q, m = index.search(fps[rows[a : a + queries_at_once]], radius)
-                later = q + a < m
-                part = kept(nodes, fps, sizes, groups, rows[q[later] + a], rows[m[later]])
-                if stars:
-                    parts.append(_stars(part))
-                elif len(part):
-                    yield part
-        if parts:
-            pairs = pd.concat(parts, ignore_index=True)
-            yield _stars(pairs) if stars else pairs.drop_duplicates()
-
-    return _by_part(found)
-
-
-def _search(nodes: DataFrame, masks: list[list[int]], radius: int, stars: bool, most: int = 4096) -> DataFrame:
-    pairs = _dealt(_mask_cells(nodes, masks), nodes, most).mapInPandas(_candidates(radius, stars), "a long, b long, d long")
-    if stars:
-        pairs = pairs.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.min(F.struct("d", "b")).alias("z"))
-        pairs = pairs.select("a", F.explode(F.array("x", "y", "z.b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.select("a", "b").distinct()
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard likeness of 0.8 or more, by their shingles."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+def _fits(x: str, y: str):
+    """Sets whose sizes allow a likeness of 0.8."""
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
+def _stars(members: DataFrame, shared: DataFrame, each: int = 2) -> DataFrame:
+    """Links from every node to the first nodes of the samples that it shares with most of them."""
+    first = spread_join(members, shared, "fp", "n").where("node <> first and " + "5 * least(size, first_size) >= 4 * greatest(size, first_size)")
+    counted = first.groupBy("node", "first").agg(F.count("*").alias("c"))
+    best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "first")), asc=False), 1, each).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.first").alias("b"))
+
+
+def _across(open_: DataFrame, share: int = 1000) -> DataFrame:
+    """All pairs that share a sample but not a group, in parts of bounded size."""
+    parts = open_.groupBy("fp").agg(F.count("*").alias("n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
+    dealt = open_.join(parts.select("fp", F.ceil(F.col("n") / share).cast("int").alias("parts")), "fp")
+    left = dealt.select("fp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("group").alias("g"), F.col("size").alias("m"))
+    right = dealt.select("fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("group").alias("h"), F.col("size").alias("n"))
+    return left.join(right, ["fp", "part"]).where((F.col("a") > F.col("b")) & (F.col("g") != F.col("h")) & _fits("m", "n")).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id: documents linked by sets of five-word shingles with a Jaccard likeness of 0.8 or more.
+    """doc_id, text_hash and leader: rows linked by sets of five-word shingles with a Jaccard likeness of 0.8 or more.
 
-    Fingerprints only propose pairs; each link is verified.  A first search proposes three pairs for each set of
-    shingles, which join most of what is alike; a second one proposes every pair that is not joined by then.
+    ``leader`` is the (no_id, doc_id, text_hash) of the group's first row.  At this likeness a fingerprint of the whole set
+    differs in 15 % of its bits, where no index prunes.  So candidates are what the Gray index links at two bits, and what
+    agrees on the fingerprint of one of 20 min-wise samples of the set; every link is verified on the sets.  Links to the
+    first nodes of shared samples come first and join most of what is alike; then all pairs left between groups are tried.
+
+    Null and empty texts, and all texts of the same shingles, are alike; null ids come after others; equal ids are told
+    apart by their texts; an empty table gives an empty result.
     """
-    masks = sampled_masks(TABLES, TABLE_BITS, DOCUMENT_BITS)
-    rows = materialise(_sets(docs, id_col, text_col, 5, DOCUMENT_BITS // 64, False), "simhash")
-    same = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("value").alias("fp"))
-    same = materialise(same, "fingerprints")
-    first = materialise(_search(same.select("node", "fp", "size", F.col("node").alias("group")), masks, DOCUMENT_RADIUS, True), "near-pairs")
-    open_ = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = same.join(open_, "node").select(F.col("first_id").alias("open_id")).distinct()
-    asked = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("open_id")), "left_semi")
-    sets = _sets(asked, id_col, text_col, 5, 0, True).join(open_, "node", "left_semi").groupBy("node").agg(F.first("value").alias("set"))
+    rows = materialise(_sets(docs, id_col, text_col, 5, False), "shingle-fingerprints")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    same = rows.groupBy("node").agg(F.min(me).alias("leader"), F.first("size").alias("size"), F.first("value").alias("value"), F.count("*").alias("n"))
+    same = materialise(same, "shingle-nodes")
+    whole = same.groupBy(F.col("value")[0].alias("fp")).agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    whole = materialise(whole, "whole-fingerprints")
+    names = whole.select("fp", "first")
+    indexed = links(whole.select(F.col("fp").alias("node"), "fp"), 2)
+    indexed = indexed.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    members = same.select("node", "size", F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
+    shared = members.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared.select("fp", F.col("f.node").alias("first"), F.col("f.size").alias("first_size"), "n"), "shared-samples")
+    first = materialise(_stars(members, shared).union(indexed).distinct(), "near-pairs")
+    asking = members.join(shared.select("fp"), "fp").select("node").union(first.select(F.explode(F.array("a", "b")))).distinct()
+    asking = materialise(same.join(asking, "node").select("node", "size", "value", "leader"), "open-nodes")
+    texts = asking.select("node", F.col("leader.doc_id").alias("__id"), F.col("leader.text_hash").alias("__hash"))
+    told = docs.select(F.col(id_col).cast("long").alias("__doc"), F.xxhash64(text_col).alias("__text_hash"), F.col(text_col).alias("__text"))
+    told = told.join(texts.drop("node"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    sets = _sets(told, "__doc", "__text", 5, True).groupBy("node").agg(F.first("value").alias("set"))
     sets = materialise(sets, "shingle-sets")
     sure = materialise(_alike(first, sets), "alike")
-    joined = same.select("node", "fp", "size").join(open_, "node").join(components(sure), "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("group"))
-    rest = _search(materialise(joined, "open-nodes"), masks, DOCUMENT_RADIUS, False).join(first, ["a", "b"], "left_anti")
-    found = components(sure.unionByName(_alike(rest, sets)))
-    rooted = same.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(names, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    grouped = asking.join(components(sure), "node", "left").select("node", "size", F.coalesce("root", "node").alias("group"), F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
+    rest = _across(materialise(grouped.join(shared.select("fp"), "fp", "left_semi"), "open-samples")).join(first, ["a", "b"], "left_anti")
+    found = components(sure.unionByName(_alike(materialise(rest, "pairs-left"), sets)))
+    rooted = same.join(found, "node", "left").select("node", "n", "leader", F.coalesce("root", "node").alias("root"))
+    leaders = rooted.groupBy("root").agg(F.min("leader").alias("leader"))
+    named = materialise(rooted.drop("leader").join(leaders, "root").select("node", "n", "leader"), "near-groups")
+    return spread_join(rows.select("doc_id", "text_hash", "node"), named, "node", "n").select("doc_id", "text_hash", "leader")

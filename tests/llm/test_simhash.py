@@ -53,15 +53,38 @@ def test_against_brute_force(docs_of):
     assert {i: out[i]["component_id"] for i, _ in rows} == brute_components(rows)
 
 
+def brute_pairs(fps, radius):
+    return {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= radius).tolist()}
+
+
 def test_index_finds_all_pairs_within_the_radius():
     rng = np.random.default_rng(3)
     for radius, n in ((2, 900), (6, 300)):
-        base = rng.integers(0, 2**63, size=(n // 3, 1)).astype(np.uint64)
+        base = rng.integers(0, 2**63, size=n // 3).astype(np.uint64)
         fps = np.concatenate([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (0, 1, radius)])
-        fps = fps[np.argsort(simhash.gray_rank(fps[:, 0]))]
+        fps = fps[np.argsort(simhash.gray_rank(fps))]
         q, m = simhash.GrayIndex(fps).search(fps, radius)
-        want = {(i, j) for i in range(n) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps).sum(axis=1) <= radius).tolist()}
-        assert set(zip(q.tolist(), m.tolist())) == want
+        assert set(zip(q.tolist(), m.tolist())) == brute_pairs(fps, radius)
+
+
+def test_upper_nodes_drop_whole_groups(monkeypatch):
+    """Of all pairs, only a few reach the leaves."""
+    rng, seen = np.random.default_rng(4), []
+    fps = np.sort(rng.integers(0, 2**63, size=20_000).astype(np.uint64) * np.uint64(2))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    count = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: seen.append(x.size) or count(x))
+    simhash.GrayIndex(fps, 21).search(fps[:500], 2)
+    assert sum(seen) < 500 * 20_000 / 100
+
+
+def test_links_come_from_the_index(spark, monkeypatch):
+    """With an index that finds nothing, nothing is linked, whatever the size of its runs."""
+    pairs = [(0, 0), (1, 1), (1 << 40, 1 << 40), (5, 5)]
+    found = lambda rows: simhash.block_links(np.array([n for n, _ in rows]), np.array([f for _, f in rows], np.uint64), np.zeros(len(rows), bool), 2, 21)
+    assert len(found(pairs)[0]) == 3
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, queries, radius: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert len(found(pairs)[0]) == 0
 
 
 def test_gray_rank_orders_the_gray_code():
@@ -69,19 +92,25 @@ def test_gray_rank_orders_the_gray_code():
     assert (simhash.gray_rank(ranks ^ (ranks >> np.uint64(1))) == ranks).all()
 
 
-def test_masks_leave_no_pair_out():
-    rng = random.Random(5)
-    masks = [m[0] for m in simhash.exact_masks(2)]
-    for _ in range(2000):
-        diff = sum(1 << b for b in rng.sample(range(64), rng.randrange(3)))
-        assert any(not diff & m for m in masks)
+def components_of(pairs, n):
+    group = list(range(n))
+    for _ in range(n):
+        before = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            return group
 
 
-def test_large_cells_are_cut_into_parts(spark):
-    nodes = [(i, [(1 << 40) | i]) for i in range(300)]  # one cell for many masks
-    df = spark.createDataFrame(nodes, "node long, fp array<long>")
-    found = components(simhash.links(df, simhash.exact_masks(2), 2, most=32)).collect()
-    assert {r["root"] for r in found} == {0} and {r["node"] for r in found} == set(range(1, 300))
+def test_crowded_leading_blocks_are_split(spark, monkeypatch):
+    """Members that share a leading block, dealt by further bits, with differences in those bits and in others."""
+    rng = np.random.default_rng(8)
+    fps = np.unique(np.array([(int(rng.integers(6)) << 30) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(4)), replace=False)) for _ in range(400)], np.uint64))
+    df = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "node long, fp long")
+    want = components_of(brute_pairs(fps, 2), len(fps))
+    for most in (40, 1 << 20):
+        roots = {r["node"]: r["root"] for r in components(simhash.links(df, 2, most=most)).collect()}
+        assert [roots.get(i, i) for i in range(len(fps))] == want
 
 
 def test_components_of_a_long_chain(spark):
@@ -100,19 +129,3 @@ def test_odd_rows(odd, none):
     assert by[None]["component_id"] is None
     assert by[5]["fingerprint"] == f"{brute_fingerprint(LONG):016x}"
     assert simhash.near_duplicates(none).count() == 0
-
-
-def test_similar_documents(docs_of):
-    rng = random.Random(2)
-    rows, pairs = [], []
-    for i in range(60):
-        w = [f"t{rng.randrange(3000)}" for _ in range(300)]
-        rows.append((i, " ".join(w), "s"))
-        v = list(w)
-        for p in rng.sample(range(300), 3):
-            v[p] = "edited"
-        rows.append((1000 + i, " ".join(v), "s"))
-        pairs.append((i, 1000 + i))
-    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(rows)).collect()}
-    assert all(out[a] == a == out[b] for a, b in pairs)
-    assert len(set(out.values())) == 60
