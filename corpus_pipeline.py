@@ -31,15 +31,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays, once."""
+    """Of each group of similar documents the one with the smallest id (of equal ids, that with the smallest text hash) stays, once.
+
+    Null and empty texts are alike; null ids stay only where the group has no other; rows that are equal in id and text
+    count as one; further columns stay, whatever their names.
+    """
     groups = materialise(simhash.similar_documents(docs), "groups")
-    kept = groups.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    stays = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if repeated.isEmpty():
-        return stays.select(*docs.columns)
-    once = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    leads = F.col("leader").eqNullSafe(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    kept = groups.where(leads).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).select(F.struct("doc_id", "text_hash", "n").alias("kept"))
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept.doc_id")) & (F.xxhash64("row.text") == F.col("kept.text_hash"))
+    found = rows.join(kept, same)
+    if kept.where("kept.n > 1").isEmpty():
+        return found.select("row.*")
+    once = found.where("kept.n > 1").groupBy("kept").agg(F.first("row").alias("row")).select("row.*")
+    return found.where("kept.n = 1").select("row.*").unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
