@@ -1,24 +1,26 @@
 """Line dedup by a deletion-neighbourhood join, with built-in functions only.
 
-A line goes if the same line, or one within one edited character, stands earlier (by document id and
-line number, over all documents); so of every line its earliest form stays.  Lines of fewer than
-``min_chars`` characters always stay; lines over ``max_chars`` are compared for equality alone (both
-are parts of the rule, not of the data).
-
-Equal lines are first brought to one.  Two lines are one edit apart only if, cut into ``PARTS`` parts
-by the shorter one's length, they agree before and after one of the parts; lines that share no such
-frame with another line are done.  For the others, all variants with one character deleted inside the
-shared frame's part are emitted as hashed keys, with the place of the deletion: equal variants with
-the same place are one replacement apart, a variant that equals a whole line is one insertion apart.
-Equal variants are joined, each line with the earliest of its group only, and the edit distance of the
-pairs that would remove a line is verified on their texts.
-
-Scale: hot lines are counted with partial aggregation, before anything is joined; groups are never
-expanded to pairs; texts move once, keyed by document.
-
-Edge cases: null texts have no lines and stay null; empty texts have one empty line, which stays;
-equal ids are told apart by nothing but their text, so their equal lines count as one occurrence; an
-empty table gives an empty result; further columns stay where texts are rewritten.
+A line goes if the same line, or one within one edited character, stands earlier (by document id, hash
+of its text and line number, over all documents); so of every line its earliest form stays.  Lines of
+fewer than ``min_chars`` characters always stay (that is the rule: they are no passages).  There is no
+upper limit.
+
+Equal lines are first brought to one.  Two lines are one edit apart only if, cut into parts by the
+shorter one's length, they agree before and after one of the parts; lines that share no such frame with
+another line are done.  For the others, all variants of the part with one character deleted are emitted
+as hashed keys (with their frame), with the place of the deletion: equal variants with the same place
+are one replacement apart, a variant that equals a whole part is one insertion apart.  Equal variants
+are joined, each line with the earliest of its group only, and the edit distance of the pairs that would
+remove a line is verified on their texts.  A part is a quarter of the line, of lines over
+``PARTS * PART_CHARS`` characters under twice ``PART_CHARS``, so lines of any length have few variants.
+
+Scale: lines are counted with partial aggregation before anything is joined; hot lines and frames are
+broadcast (``spread_join``); groups are never expanded to pairs; texts move once, keyed by document.
+
+Edge cases: null texts have no lines and stay null; empty texts have one empty line, which stays; null
+ids come last; rows of one id are told apart by their texts, and rows equal in id and text count as one
+(they keep and lose the same lines); an empty table gives an empty result; further columns stay where
+texts are rewritten, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,58 +28,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 
-PARTS = 4
+PARTS, PART_CHARS = 4, 256
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, line: every line that may go."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+def _key(id_col: str, text_col: str, prefix: str = "") -> list[Column]:
+    """What tells a document from others, in order."""
+    return [F.col(id_col).isNull().alias(f"{prefix}no_id"), F.col(id_col).alias(f"{prefix}doc_id"), F.xxhash64(text_col).alias(f"{prefix}text_hash")]
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}text_hash") == F.col(f"{b}text_hash"))
+
+
+def _split(text_col: str) -> Column:
+    return F.split(text_col, "\n", -1)
+
+
+def _short(m: Column) -> Column:
+    return m <= PARTS * PART_CHARS
+
+
+def _parts(m: Column) -> Column:
+    return F.when(_short(m), F.lit(PARTS)).otherwise(F.ceil(m / PART_CHARS)).cast("int")
+
+
+def _after(m: Column, i: Column) -> Column:
+    """How many whole parts, from the end of a long line, stand behind part i."""
+    return F.greatest(F.lit(0), F.floor(m / PART_CHARS) - (i + 1)).cast("int")
+
+
+def _bounds(m: Column, i: Column) -> tuple[Column, Column]:
+    """What the frame of part i leaves open: a quarter of a short line; of a long one, part i and up to one more."""
+    quarter = lambda k: F.floor(m.cast("long") * k / PARTS).cast("int")
+    return F.when(_short(m), quarter(i)).otherwise(i * PART_CHARS), F.when(_short(m), quarter(i + 1)).otherwise(m - PART_CHARS * _after(m, i))
 
 
 def _frames(line: Column, n: Column) -> Column:
-    """For both lengths that a pair may be measured by, and each part: what stands before and after it."""
-
-    def frame(role: int, i: int) -> Column:
-        m = n - role
-        a, b = F.floor(m * i / PARTS).cast("int"), F.floor(m * (i + 1) / PARTS).cast("int")
-        before, after = F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b)
-        return F.struct(F.lit(role).alias("role"), F.lit(i).alias("part"), F.xxhash64(F.lit(i), m, before, after).alias("frame"))
-
-    return F.array(*(frame(role, i) for role in (0, 1) for i in range(PARTS)))
-
-
-def _deletions(line: Column, n: Column, role: Column, part: Column) -> Column:
-    """(variant, place) for the deletions inside a part; the longer of a pair may have one more character there."""
-    m = n - role
-    a, b = F.floor(m * part / PARTS).cast("int"), F.floor(m * (part + 1) / PARTS).cast("int")
-    places = F.sequence(a + 1, F.greatest(a + 1, b + role))
-    return F.transform(
-        places,
-        lambda p: F.struct(
-            F.xxhash64(F.concat(F.substring(line, F.lit(1), p - 1), F.substring(line, p + 1, n))).alias("variant"),
-            F.when(role == 0, p).otherwise(-1).alias("place"),
-        ),
-    )
+    """For both lengths that a pair may be measured by (the own one, one less), and each part: what stands before and after it."""
+    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0)), lambda y: F.xxhash64(y))
+    cut = lambda x: F.when(~_short(n), pieces(x))
+    once = F.array(F.struct(n.alias("n"), cut(line).alias("front"), cut(F.reverse(line)).alias("back")))  # counted and cut once, not in each step
 
+    def short(m: Column, n: Column) -> Column:
+        def frame(i: Column) -> Column:
+            a, b = _bounds(m, i)
+            return F.xxhash64(i, m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
 
-def near_lines(docs: DataFrame, distinct: DataFrame, *, id_col: str, text_col: str, max_chars: int) -> DataFrame:
+        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), frame)
+
+    def long(m: Column, c: Column) -> Column:
+        frame = lambda i: F.xxhash64(i, m, F.slice(c["front"], 1, i), F.slice(c["back"], 1, _after(m, i)))
+        return F.transform(F.sequence(F.lit(0), _parts(m) - 1), frame)
+
+    both = lambda c, role: F.when(_short(c["n"] - role), short(c["n"] - role, c["n"])).otherwise(long(c["n"] - role, c))
+    return F.flatten(F.transform(once, lambda c: F.concat(both(c, 0), both(c, 1))))
+
+
+def _variants(frame: Column, middle: Column, start: Column, role: Column) -> Column:
+    """(variant, place, at): the part without each of its characters (the place counts if lengths are equal), and the whole part of the shorter."""
+    size = F.length(middle)
+    deleted = lambda p: F.xxhash64(frame, F.concat(F.substring(middle, F.lit(1), p - 1), F.substring(middle, p + 1, size)))
+    gone = F.transform(F.sequence(F.lit(1), size), lambda p: F.struct(deleted(p).alias("variant"), F.when(role == 0, p).otherwise(-1).alias("place"), (start + p).alias("at")))
+    whole = F.array(F.struct(F.xxhash64(frame, middle).alias("variant"), F.lit(0).alias("place"), F.lit(0).alias("at")))
+    return F.when(role == 0, F.concat(gone, whole)).otherwise(gone)
+
+
+def _without(line: str, at: Column) -> Column:
+    return F.concat(F.substring(F.col(line), F.lit(1), at - 1), F.substring(F.col(line), at + 1, F.length(line)))
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """h of the distinct lines that have an earlier line one edit apart."""
-    framed = distinct.where("frames is not null").select("h", F.explode("frames").alias("f")).select("h", "f.*")
-    shared = framed.groupBy("frame").agg(F.count("*").alias("k")).where("k > 1").select("frame")
-    open_ = materialise(framed.join(shared, "frame").select("h", "role", "part").distinct(), "line-frames")
+    framed = distinct.select("h", F.posexplode("frames").alias("at", "frame"))
+    shared = materialise(framed.groupBy("frame").agg(F.count("*").alias("k")).where("k > 1"), "shared-frames")
+    open_ = materialise(spread_join(framed, shared, "frame", "k").select("h", "at", "frame"), "line-frames")
     wanted = distinct.join(open_.select("h").distinct(), "h", "left_semi").select("h", "first")
-    places = wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h", "first")).alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(places, "doc_id")
-    found = texts.withColumn("lines", F.split("text", "\n", -1)).select(F.explode(F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["first"].alias("first"), F.col("lines")[w["pos"]].alias("line")))).alias("w")).select("w.*")
-    found = materialise(found.where(F.xxhash64("line") == F.col("h")).dropDuplicates(["h"]), "open-lines")
+    places = wanted.groupBy(F.col("first.doc_id").alias("w_doc_id"), F.col("first.text_hash").alias("w_text_hash")).agg(F.collect_list(F.struct("h", "first")).alias("wanted"))
+    texts = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(places, _same("", "w_"))
+    picked = F.transform(F.array(_split("text")), lambda ls: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["first"].alias("first"), ls[w["first"]["pos"]].alias("line"))))
+    found = texts.select(F.explode(F.flatten(picked)).alias("w")).select("w.*")  # each text is split once
+    found = materialise(found.dropDuplicates(["h"]), "open-lines")
     n = F.length("line")
-    opened = found.join(open_, "h")
-    gone = opened.select("h", "first", F.explode(_deletions(F.col("line"), n, F.col("role"), F.col("part"))).alias("v")).select("h", "first", "v.*")
-    whole = found.select("h", "first", F.col("h").alias("variant"), F.lit(0).alias("place"))
-    rows = gone.unionByName(whole).withColumn("slot", F.greatest("place", F.lit(0)))
-    mine = F.struct("first", "h")
+    role = F.when(F.col("at") >= _parts(n), 1).otherwise(0)
+    opened = found.join(open_, "h").withColumn("role", role)
+    m = n - F.col("role")
+    a, b = _bounds(m, F.col("at") - F.when(F.col("role") == 1, _parts(n)).otherwise(0))
+    opened = opened.select("h", "first", "frame", "role", a.alias("start"), F.substring(F.col("line"), a + 1, b - a + F.col("role")).alias("middle"))
+    rows = opened.select("h", "first", F.explode(_variants(F.col("frame"), F.col("middle"), F.col("start"), F.col("role"))).alias("v")).select("h", "first", "v.*")
+    rows = rows.withColumn("slot", F.greatest("place", F.lit(0)))
+    mine = F.struct("first", "h", "at")
     best = rows.groupBy("variant", "slot").agg(
         F.count("*").alias("k"),
         F.min(F.when(F.col("place") > 0, mine)).alias("replaced"),
@@ -86,41 +127,50 @@ def near_lines(docs: DataFrame, distinct: DataFrame, *, id_col: str, text_col: s
     )
     joined = rows.join(best.where("k > 1"), ["variant", "slot"])
     other = F.when(F.col("place") > 0, F.col("replaced")).when(F.col("place") == 0, F.col("longer")).otherwise(F.col("shorter"))
-    pairs = joined.select("h", "first", other.alias("other")).where("other is not null and other.first < first")
-    pairs = pairs.groupBy("h").agg(F.min("other").alias("other")).select("h", F.col("other.h").alias("g"))
-    a, b = found.select("h", "line"), found.select(F.col("h").alias("g"), F.col("line").alias("earlier"))
-    return pairs.join(a, "h").join(b, "g").where(F.levenshtein("line", "earlier", 1) == 1).select("h")
+    pairs = joined.select("h", "first", "place", "at", other.alias("other")).where("other is not null and other.first < first")
+    pairs = pairs.groupBy("h").agg(F.min(F.struct("other", "place", "at")).alias("p")).select("h", F.col("p.other.h").alias("g"), F.col("p.other.at").alias("other_at"), "p.place", "p.at")
+    own, early = found.select("h", "line"), found.select(F.col("h").alias("g"), F.col("line").alias("earlier"))
+    verified = (  # one edit apart: equal without the character at a known place, which takes one pass over lines of any length
+        F.when(F.col("place") > 0, (_without("line", F.col("at")) == _without("earlier", F.col("at"))) & (F.length("line") == F.length("earlier")))
+        .when(F.col("place") < 0, _without("line", F.col("at")) == F.col("earlier"))
+        .otherwise(F.col("line") == _without("earlier", F.col("other_at")))
+    )
+    return pairs.join(own, "h").join(early, "g").where(verified).select("h")
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 16, max_chars: int = 1000) -> DataFrame:
-    """doc_id, exact and near: the line numbers (from 0) that go, for documents that have any."""
-    lines = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
-    n = F.length("line")
-    frames = F.when(n <= max_chars, _frames(F.col("line"), n))
-    seen = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), frames.alias("frames"))
-    distinct = seen.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("frames").alias("frames"))
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 16) -> DataFrame:
+    """no_id, doc_id, text_hash, exact and near: the line numbers (from 0) that go, for documents that have any."""
+    lines = docs.select(*_key(id_col, text_col), F.posexplode(_split(text_col)).alias("pos", "line")).where(F.length("line") >= min_chars)
+    place = F.struct("no_id", "doc_id", "text_hash", "pos")
+    seen = lines.select("no_id", "doc_id", "text_hash", "pos", F.xxhash64("line").alias("h"), _frames(F.col("line"), F.length("line")).alias("frames"))
+    distinct = seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("frames").alias("frames"))
     distinct = materialise(distinct, "distinct-lines")
-    near = near_lines(docs, distinct, id_col=id_col, text_col=text_col, max_chars=max_chars).withColumn("near", F.lit(True))
-    marked = distinct.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    again = lines.select("doc_id", "pos", F.xxhash64("line").alias("h")).join(marked, "h").where(F.col("near") | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    near_too = F.col("near") & F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
-    return again.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.when(~near_too, F.col("pos")))).alias("exact"),
-        F.array_sort(F.collect_set(F.when(near_too, F.col("pos")))).alias("near"),
+    near = near_lines(docs, distinct, id_col=id_col, text_col=text_col).withColumn("near", F.lit(True))
+    marked = distinct.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near").select("h", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = materialise(marked, "marked-lines")
+    again = spread_join(seen.drop("frames"), marked, "h", "n").withColumn("is_first", place.eqNullSafe(F.col("first"))).where("near or not is_first")
+    return again.groupBy("no_id", "doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set(F.when(~F.col("is_first"), F.col("pos")))).alias("exact"),
+        F.array_sort(F.collect_set(F.when(F.col("is_first"), F.col("pos")))).alias("near"),
     )
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """Per document: lines, those that go as equal or as near, and those that stay."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **rule)
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).alias("n_lines"))
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **rule).select(F.col("doc_id").alias("g_doc_id"), F.col("text_hash").alias("g_text_hash"), "exact", "near")
+    counted = docs.select(*_key(id_col, text_col), F.coalesce(F.size(_split(text_col)), F.lit(0)).alias("n_lines"))
     exact, near = F.coalesce(F.size("exact"), F.lit(0)), F.coalesce(F.size("near"), F.lit(0))
-    return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", exact.alias("equal_lines"), near.alias("near_lines"), (F.col("n_lines") - exact - near).alias("kept_lines"))
+    return counted.join(gone, _same("", "g_"), "left").select("doc_id", "n_lines", exact.alias("equal_lines"), near.alias("near_lines"), (F.col("n_lines") - exact - near).alias("kept_lines"))
 
 
 def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """The documents with their texts' repeated lines taken out; all documents and columns stay."""
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **rule).select(F.col("doc_id").alias("gone_id"), F.array_union("exact", "near").alias("gone_lines"))
-    joined = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left")
-    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("gone_lines", i))
-    return joined.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, **rule)
+    gone = gone.select(F.struct("doc_id", "text_hash", F.array_union("exact", "near").alias("lines")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row").getField(text_col)
+    same = F.col("row").getField(id_col).eqNullSafe(F.col("gone.doc_id")) & (F.xxhash64(text) == F.col("gone.text_hash"))
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone.lines", i))
+    cut = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    joined = rows.join(gone, same, "left").withColumn("cut", cut)
+    return joined.select(*(F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -76,7 +76,7 @@ ORACLES = {
             FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
         d AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l WHERE length(line) >= 16 GROUP BY line),
         near AS (SELECT DISTINCT a.line FROM d a, d b
-                 WHERE a.n <= 1000 AND b.n <= 1000 AND b.n IN (a.n - 1, a.n, a.n + 1) AND b.first < a.first
+                 WHERE b.n IN (a.n - 1, a.n, a.n + 1) AND b.first < a.first
                    AND (left(a.line, 3) = left(b.line, 3) OR right(a.line, 3) = right(b.line, 3))
                    AND levenshtein(a.line, b.line) = 1),
         m AS (SELECT l.doc_id, l.pos, {'d': l.doc_id, 'p': l.pos} = d.first AS is_first, near.line IS NOT NULL AS is_near

@@ -19,19 +19,26 @@ def within_one(a, b):
     return len(b) - len(a) <= 1 and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
 
 
-def brute_removed(rows, least=16, most=1000):
+def brute_removed(rows, least=16):
+    """By row: ids (null ones last), then texts' hashes, then lines; equal rows have the same place."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    texts = SparkSession.getActiveSession().createDataFrame([(t,) for _, t, _ in rows], "t string")
+    hashed = {r["t"]: r["h"] for r in texts.select("t", F.xxhash64("t").alias("h")).collect()}
+    key = lambda d, t: (d is None, d or 0, hashed[t])
     first = {}
-    for d, text in sorted((d, t) for d, t, _ in rows):
+    for d, text in sorted(((d, t) for d, t, _ in rows), key=lambda r: key(*r)):
         for i, line in enumerate(text.split("\n")):
             if len(line) >= least:
-                first.setdefault(line, (d, i))
+                first.setdefault(line, (key(d, text), i))
     gone = {}
     for d, text, _ in rows:
         for i, line in enumerate(text.split("\n")):
             if line in first:
-                near = len(line) <= most and any(o != line and len(o) <= most and first[o] < first[line] and within_one(o, line) for o in first)
-                if near or first[line] != (d, i):
-                    gone.setdefault(d, set()).add(i)
+                near = any(abs(len(o) - len(line)) <= 1 and o != line and first[o] < first[line] and within_one(o, line) for o in first)
+                if near or first[line] != (key(d, text), i):
+                    gone.setdefault((d, text), set()).add(i)
     return gone
 
 
@@ -50,14 +57,38 @@ def lines_corpus(seed):
     return rows
 
 
+def check_lines(docs_of, rows):
+    want = brute_removed(rows)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.without_repeated_lines(docs_of(rows)).collect())
+    assert texts == sorted((str(d), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get((d, t), ()))) for d, t, _ in rows)
+    counts = sorted((str(r["doc_id"]), r["n_lines"], r["equal_lines"] + r["near_lines"]) for r in line_dedup.line_report(docs_of(rows)).collect())
+    assert counts == sorted((str(d), t.count("\n") + 1, len(want.get((d, t), ()))) for d, t, _ in rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_against_brute_force(docs_of, seed):
-    rows = lines_corpus(seed)
-    got = {r["doc_id"]: set(r["exact"]) | set(r["near"]) for r in line_dedup.repeated_lines(docs_of(rows)).collect()}
-    want = brute_removed(rows)
-    assert got == want
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs_of(rows)).collect()}
-    assert texts == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, ())) for d, t, _ in rows}
+    check_lines(docs_of, lines_corpus(seed))
+
+
+def test_null_and_repeated_ids(docs_of):
+    """Rows of one id keep their own lines; rows without id take part; equal rows count as one."""
+    line, near = "a line that stands in some places", "a line that stands in some placeS"
+    rows = [(1, line), (5, f"a line that is unique A\n{line}"), (5, f"{line}\nthis line is unique, B"), (None, f"null one\n{line}"), (None, f"{near}\nsomething of its own"), (7, near), (7, near)]
+    check_lines(docs_of, [(i, t, "s") for i, t in rows])
+
+
+def test_long_lines(docs_of):
+    """Lines of 1,000 to 60,000 characters, one character apart, wherever it stands."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (1000, 1023, 1024, 1025, 1281, 5000, 60_000)]
+    rows = [(i, b, "s") for i, b in enumerate(base)]
+    for n, b in enumerate(base):
+        for k, at in enumerate((0, 1, len(b) // 4, len(b) // 2 + 1, len(b) - 1)):
+            rows += [(100 + 30 * n + k, b[:at] + "X" + b[at + 1 :], "s"), (110 + 30 * n + k, b[:at] + "Y" + b[at:], "s"), (120 + 30 * n + k, b[:at] + b[at + 1 :], "s")]
+        rows.append((1000 + n, b[:200] + "ZZ" + b[202:], "s"))
+    check_lines(docs_of, rows)
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs_of(rows)).collect()}
+    assert all(not left[100 + 30 * n + k] for n in range(len(base)) for k in range(5)) and all(left[1000 + n] for n in range(len(base)))
 
 
 def test_lines_report_matches_sql(docs_of):
@@ -68,6 +99,7 @@ def test_lines_report_matches_sql(docs_of):
 
 
 def test_lines_odd_rows(odd, none, docs_of):
+    odd = odd.withColumnsRenamed({"h": "gone", "role": "lines", "fp": "cut", "first": "row"})
     out = {(r["doc_id"], r["n_lines"]): r["kept_lines"] for r in line_dedup.line_report(odd).collect()}
     assert out[1, 0] == 0 and out[2, 1] == 1 and out[5, 1] == 1 and out[6, 1] == 1 and out[7, 1] == 0
     kept = line_dedup.without_repeated_lines(odd)
