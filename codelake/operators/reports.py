@@ -65,7 +65,7 @@ def export_report(rows: DataFrame, summary: DataFrame, root: str) -> str:
     rows.write.mode("overwrite").json(f"{root}/rows.json")
     flat = [c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
     rows.select(*flat).write.mode("overwrite").option("header", "true").csv(f"{root}/rows.csv")
-    table = summary.orderBy("strategy").limit(16).collect()
+    table = summary.orderBy("strategy").collect()
     lines = ["| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
     lines += ["| " + " | ".join(f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in table]
     text = "\n".join(lines) + "\n"

@@ -72,7 +72,6 @@ def expand_one_hop(base: DataFrame, queries: DataFrame, chunks: DataFrame, edges
     seeds = settle(seeds.join(wish, "query_id").join(own.select("snapshot_id", F.col("chunk_id").alias("seed"), F.col("path").alias("seed_path"), F.col("symbol_id").alias("seed_symbol")), ["snapshot_id", "seed"]), "seeds")
     paths, related = adjacency(edges)
     who = ["want_language", "path_prefix"]  # queries with the same wishes share neighbours
-    kinds = seeds.select("snapshot_id", *who).distinct()
     by_path = paths.withColumnRenamed("path", "seed_path")
     asked_paths = seeds.join(by_path, ["snapshot_id", "seed_path"]).select("query_id", "seed", "score", "snapshot_id", *who, "near_path")
     asked_symbols = seeds.join(related.withColumnRenamed("symbol_id", "seed_symbol"), ["snapshot_id", "seed_symbol"]).select("query_id", "seed", "score", "snapshot_id", *who, "near_symbol")
@@ -80,7 +79,8 @@ def expand_one_hop(base: DataFrame, queries: DataFrame, chunks: DataFrame, edges
     def six(asked: DataFrame, near: str, key: str) -> DataFrame:
         reachable = own.withColumnRenamed(key, near).join(asked.select("snapshot_id", near).distinct(), ["snapshot_id", near], "left_semi")
         fitting = reachable.withColumn("path", F.col(near)) if key == "path" else reachable
-        kept = _first(allowed(fitting.join(kinds, "snapshot_id")).select("snapshot_id", *who, near, "chunk_id"), ["snapshot_id", *who, near], NEIGHBOURS + 1)
+        kinds = asked.select("snapshot_id", near, *who).distinct()  # a chunk meets the wishes of those who reach it
+        kept = _first(allowed(fitting.join(kinds, ["snapshot_id", near])).select("snapshot_id", *who, near, "chunk_id"), ["snapshot_id", *who, near], NEIGHBOURS + 1)
         kept = kept.toDF("s2", "l2", "p2", "n2", "chunk_id")
         on = (asked["snapshot_id"] == kept["s2"]) & asked["want_language"].eqNullSafe(kept["l2"]) & asked["path_prefix"].eqNullSafe(kept["p2"]) & (asked[near] == kept["n2"])
         return asked.join(kept, on).select("query_id", "seed", "score", "chunk_id")

@@ -75,7 +75,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP, query_bl
 
     def flush() -> None:
         shared = spark.sparkContext.broadcast(block.copy())
-        parts.append(vectors.select("snapshot_id", "chunk_id", "path", "language", "vector").mapInPandas(_nearest(shared, top), "query_id long, chunk_id string, score double"))
+        parts.append(vectors.where("vector is not null").select("snapshot_id", "chunk_id", "path", "language", "vector").mapInPandas(_nearest(shared, top), "query_id long, chunk_id string, score double"))
         block.clear()
 
     wanted = queries.select("query_id", "snapshot_id", "vector", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
@@ -95,23 +95,32 @@ def _nearest(shared, top: int):
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
+    def kept(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > top:  # all that tie with the last one stay
+            best = scores >= np.partition(scores, -top)[-top]
+            return ids[best], scores[best]
+        return ids, scores
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = shared.value
+        best = [(np.empty(0, object), np.empty(0)) for _ in queries]
+        asked = unit(np.stack([q[4] for q in queries])) if queries else None
         for frame in frames:
             if not queries or frame.empty:
                 continue
             matrix = unit(np.stack(frame["vector"].to_list()).astype(np.float64))
-            scores = np.round(unit(np.stack([q[4] for q in queries])) @ matrix.T, 6)
+            scores = np.round(asked @ matrix.T, 6)
             ids, snapshots, paths, languages = (frame[c].to_numpy() for c in ("chunk_id", "snapshot_id", "path", "language"))
-            for (query_id, snapshot, language, prefix, _), own in zip(queries, scores, strict=True):
+            for i, ((_, snapshot, language, prefix, _), own) in enumerate(zip(queries, scores, strict=True)):
                 fits = snapshots == snapshot
                 if language:
                     fits &= languages == language
                 if prefix:
                     fits &= np.array([p.startswith(prefix) for p in paths])
                 rows = np.flatnonzero(fits)
-                if len(rows) > top:  # all that tie with the last one stay
-                    rows = rows[own[rows] >= np.partition(own[rows], -top)[-top]]
-                yield pd.DataFrame({"query_id": query_id, "chunk_id": ids[rows], "score": own[rows]})
+                best[i] = kept(np.concatenate([best[i][0], ids[rows]]), np.concatenate([best[i][1], own[rows]]))
+        n = [len(ids) for ids, _ in best]
+        if sum(n):
+            yield pd.DataFrame({"query_id": np.repeat([q[0] for q in queries], n), "chunk_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best])})
 
     return run

@@ -195,10 +195,16 @@ def document_frequencies(spark, sf_dir):
     return lexical.document_frequencies(lexical.postings(_chunks(spark, sf_dir))).drop("snapshot_id")
 
 
-def _lexical(spark, sf_dir, **wish) -> DataFrame:
-    chunks = _chunks(spark, sf_dir)
+def keyword_index(spark, sf_dir) -> dict[str, DataFrame]:
+    """Chunks, postings and lengths, each stored once: terms are taken apart in no later step."""
+    chunks = settle(_chunks(spark, sf_dir), "chunks")
+    return {"chunks": chunks, "index": settle(lexical.postings(chunks), "postings"), "lengths": settle(lexical.document_lengths(chunks), "lengths")}
+
+
+def _lexical(spark, sf_dir, built=None, **wish) -> DataFrame:
+    built = built or keyword_index(spark, sf_dir)
     asked = _queries(spark, sf_dir).withColumns({k: F.lit(v) for k, v in wish.items()})
-    return lexical.bm25(lexical.postings(chunks), lexical.document_lengths(chunks), asked)
+    return lexical.bm25(built["index"], built["lengths"], asked)
 
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, rank, chunk_id, score FROM lexical")
@@ -216,7 +222,7 @@ def bm25_filtered(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT q.vec_id AS query_id, 'v' || lpad(CAST(v.vec_id AS VARCHAR), 8, '0') AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-        FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id >= 20)
+        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM s QUALIFY rank <= 20""")
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("snapshot_id"), "vec_id", F.format_string("v%08d", "vec_id").alias("chunk_id"), F.lit("").alias("path"), F.lit("").alias("language"), F.col("embedding").alias("vector"))
@@ -232,16 +238,23 @@ _SEMANTIC = """sem AS (SELECT b.item_id AS query_id, 'd' || lpad(CAST(d.doc_id A
         FROM (SELECT query_id, chunk_id, rank, 'b' AS o FROM lexical UNION ALL SELECT query_id, chunk_id, rank, 'v' FROM semantic) GROUP BY query_id, chunk_id)"""
 
 
-def _search(spark, sf_dir, strategy: str, k: int = 20) -> DataFrame:
-    chunks = settle(_chunks(spark, sf_dir), "chunks")
+def _search(spark, sf_dir, strategy: str, k: int = 20, built=None) -> DataFrame:
+    built = built or keyword_index(spark, sf_dir)
+    chunks = built["chunks"]
     symbols = chunks.select("snapshot_id", "path", F.col("symbol_id").alias("id"), "name", "qualified_name")
     found = ranking.search(
-        _queries(spark, sf_dir), strategy, k, chunks=chunks, index=settle(lexical.postings(chunks), "postings"), lengths=lexical.document_lengths(chunks),
+        _queries(spark, sf_dir), strategy, k, **built,
         vectors=_vectors(spark, sf_dir), symbols=symbols, edges=_edges(chunks),
     )
     return found.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), F.array_join("origins", ",").alias("origins"))
 
 
+@query(f"""WITH {_SEMANTIC}
+    SELECT query_id, rank, chunk_id, round(score, 9) AS score, 'vector' AS origins FROM semantic WHERE rank <= 20""")
+def vector_only_search(spark, sf_dir):
+    return _search(spark, sf_dir, "vector-only")
+
+
 def _edges(chunks: DataFrame) -> DataFrame:
     """A document calls the next one of its source; the first of a source imports the first of the next source."""
     source = F.element_at(F.split("path", "/"), 1)
@@ -374,8 +387,8 @@ def definition_at(spark, sf_dir):
 
 
 @query("""
-    WITH w AS (SELECT doc_id, unnest(range(1, 13)) AS no, string_split(text, ' ') AS ws FROM documents),
-    r AS (SELECT doc_id, no, ws[no] AS word FROM w WHERE no <= len(ws)),
+    WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+    r AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS no, unnest(ws) AS word FROM w),
     asked AS (SELECT DISTINCT item_id AS request_id, unnest(string_split(text, ' ')) AS word FROM benchmark)
     SELECT request_id, CAST(doc_id AS VARCHAR) AS path, CAST(no AS INTEGER) AS ref_no FROM asked JOIN r USING (word) GROUP BY ALL""")
 def references_to(spark, sf_dir):
@@ -555,7 +568,7 @@ def relevant_overlap(spark, sf_dir):
 
 @query("""
     WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk, v.label = q.label AS same, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-        FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id >= 20),
+        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM s)
     SELECT query_id, count(*) FILTER (WHERE same AND rank <= 5) / count(*) FILTER (WHERE same) AS recall_5, count(*) FILTER (WHERE same AND rank <= 10) / count(*) FILTER (WHERE same) AS recall_10,
         count(*) FILTER (WHERE same AND rank <= 20) / count(*) FILTER (WHERE same) AS recall_20, coalesce(1.0 / CAST(min(rank) FILTER (WHERE same AND rank <= 10) AS DOUBLE), 0.0) AS mrr_10
