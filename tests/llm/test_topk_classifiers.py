@@ -20,8 +20,9 @@ def brute_topk(rows, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("kind", "block"), [("random", 2048), ("clustered", 3), ("ties", 2048)])
-def test_topk_against_brute_force(spark, kind, block):
+@pytest.mark.parametrize(("kind", "block"), [("random", 1024), ("clustered", 7), ("ties", 1024)])
+def test_topk_against_brute_force(spark, kind, block, monkeypatch):
+    monkeypatch.setattr(pivot_topk, "BLOCK", block)
     rng = np.random.default_rng(7)
     if kind == "random":
         v = rng.normal(size=(700, 16))
@@ -31,7 +32,7 @@ def test_topk_against_brute_force(spark, kind, block):
         v = rng.integers(-1, 2, size=(700, 3)).astype(float)
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
     df = spark.createDataFrame([(i, x, 9, 9) for i, x in rows], VECTORS).repartition(4)
-    out = pivot_topk.top_k(df, F.col("vec_id") % 50 == 0, query_block=block)
+    out = pivot_topk.top_k(df, F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, out.collect())) == brute_topk(rows)
 
 
@@ -39,10 +40,22 @@ def test_pivots_eliminate_candidates():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.01 * rng.normal(size=(3000, 8))
     v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))  # of equal length, as embeddings are
-    search = pivot_topk._Search(np.arange(0, 3000, 50), v[::50], v[:16], 5)
-    for a in range(0, 3000, 1000):
-        search.add(np.arange(a, a + 1000), v[a : a + 1000])
-    assert search.evaluated < 0.2 * search.pairs
+    assert share_evaluated(np.arange(3000), v) < 0.2
+
+
+def share_evaluated(ids, v):
+    pivots, asked = pivot_topk.far_apart(v[: pivot_topk.SAMPLE], 1024), ids % 50 == 0
+    search = pivot_topk.Search(ids[asked], v[asked], 5)
+    for a in range(0, len(v), pivot_topk.BLOCK):
+        part = v[a : a + pivot_topk.BLOCK]
+        search.add(ids[a : a + pivot_topk.BLOCK], part, pivots, pivot_topk._distances(part, pivots))
+    return search.evaluated / search.pairs
+
+
+def test_pivots_eliminate_on_the_given_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.floor(256 * np.array([r["embedding"] for r in rows], dtype=np.float64))
+    assert share_evaluated(np.array([r["vec_id"] for r in rows]), v) < 0.6  # of even directions: see the README
 
 
 def test_topk_odd_rows(spark):
