@@ -108,23 +108,41 @@ def test_lines_odd_rows(odd, none, docs_of):
     assert line_dedup.line_report(none).count() == 0
 
 
+def brute_words(text):
+    """Runs of letters and digits, or single characters; the front of a run over 24 characters is single characters."""
+    letter = lambda c: c.isascii() and c.isalnum() or "\u00aa" <= c <= "\u02ff" or "\u0370" <= c <= "\u0dff"
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and letter(text[j]):
+            j += 1
+        if j > i:
+            out += [*text[i : max(i, j - 24)], text[max(i, j - 24) : j]]
+        elif text[i] not in " \t\n\v\f\r":
+            out.append(text[i])
+            j = i + 1
+        else:
+            j = i + 1
+        i = j
+    return out
+
+
 def brute_fingerprint(text, k=5, window=8):
     """Chosen positions by the textbook rule, over the library's own hashes of k words."""
-    import re
-
-    words = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
+    words = brute_words(text or "")
     grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] or ([tuple(words)] if words else [])
     return words, grams, window
 
 
-def test_winnowing_rule(spark, docs_of):
+@pytest.mark.parametrize(("k", "width"), [(5, 8), (3, 5), (1, 1)])
+def test_winnowing_rule(spark, docs_of, k, width):
     rng = random.Random(4)
-    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 3, 4, 5, 9, 11, 12, 13, 40, 200, 200)] + [LONG, "x" * 500]
-    df = winnowing.with_fingerprint(docs_of([(i, t, "s") for i, t in enumerate(texts)]), "text", "chosen")
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 3, 4, 5, 9, 11, 12, 13, 40, 200, 200)] + ["don't, x" * 20, "日本語" * 30, "z" * 60]
+    df = winnowing.with_fingerprint(docs_of([(i, t, "s") for i, t in enumerate(texts)]), "text", "chosen", k, width)
     rows = {r["doc_id"]: r for r in df.select("doc_id", "chosen", winnowing.hashes("chosen").alias("hs"), winnowing.positions("chosen").alias("ps")).collect()}
     seen = {}
     for i, text in enumerate(texts):
-        _, grams, window = brute_fingerprint(text)
+        _, grams, window = brute_fingerprint(text, k, width)
         chosen = {p: v >> winnowing.POSITION_BITS for v, p in zip(rows[i]["chosen"], rows[i]["ps"])}
         for p, h in chosen.items():  # equal grams have equal hashes
             assert seen.setdefault(grams[p], h) == h
@@ -147,6 +165,38 @@ def test_common_passages_are_found(docs_of):
     assert out[1] & out[2] and not out[1] & out[3]
 
 
+def test_text_without_spaces_falls_in_step(docs_of):
+    """400 characters of Chinese, and the same behind one more: nearly all hashes are shared; so for a run of letters."""
+    rng = random.Random(3)
+    for text in ("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400)), "".join(rng.choice("abcdefgh") for _ in range(400))):
+        df = docs_of([(1, text, "s"), (2, "x" + text, "s")])
+        a, b = (set(r["hs"]) for r in winnowing.with_fingerprint(df, "text", "c").select("doc_id", winnowing.hashes("c").alias("hs")).orderBy("doc_id").collect())
+        assert len(a & b) >= 0.9 * len(a | b)
+
+
+def test_likeness_against_brute_force(docs_of):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 120))) for _ in range(25)]
+    docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
+    sets = lambda ts: {r["doc_id"]: set(r["hs"]) for r in winnowing.with_fingerprint(docs_of([(i, t, "s") for i, t in enumerate(ts)]), "text", "c").select("doc_id", winnowing.hashes("c").alias("hs")).collect()}
+    edited = [t[: len(t) - len(t) // 2] + texts[i - 1][: len(t) // 2] for i, t in enumerate(texts)]
+    own, other = sets(texts), sets(edited)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for r in winnowing.compare_with_edits(docs).collect():
+        i = r["doc_id"]
+        assert r["next_id"] == (i - 1) % 25
+        assert abs(r["near_edited"] - like(own[i], other[i])) < 1e-12 and abs(r["near_next"] - like(own[i], own[(i - 1) % 25])) < 1e-12
+
+
+def test_many_rows_without_id(docs_of):
+    rows = [(None, f"text {i} of no id", "s") for i in range(600)] + [(2**60 * (i % 4) + i, f"text {i}", "s") for i in range(300)]
+    out = winnowing.compare_with_edits(docs_of(rows)).collect()
+    ids = sorted(r["doc_id"] for r in out if r["doc_id"] is not None)
+    assert len(out) == 900 and sorted(r["next_id"] for r in out if r["next_id"] is not None) == ids
+    before = {r["doc_id"]: r["next_id"] for r in out if r["doc_id"] is not None}
+    assert all(before[b] == a for a, b in zip(ids, ids[1:])) and before[ids[0]] is None
+
+
 def edited_sha(rows):
     ordered = sorted(rows, key=lambda r: (-(1 << 62) if r[0] is None else r[0]), reverse=True)
     want = {}
