@@ -7,8 +7,9 @@ room; each has a bitmap of duplicate clusters (a cluster once per bin at most) a
 first bin with enough room and goes on to the next larger until one is compatible; if none is, a bin
 is opened.
 
-Scale: pieces are dealt at random to shards of about ``shard_rows`` pieces, whatever their source or
-cluster, so a hot source or cluster is spread evenly and no group grows with the data.  Only sizes
+Scale: pieces are dealt by a hash of id and piece to shards of about ``shard_rows`` pieces, whatever
+their source or cluster, so a hot source or cluster is spread evenly and no group grows with the data.
+The tightest compatible bin is that of the piece's shard; bins of other shards are not looked at.  Only sizes
 and keys move; texts stay where they are.
 
 Edge cases: null and wordless texts have no pieces; null sources are a source of their own; null ids
@@ -81,7 +82,7 @@ def _pack_shard(capacity: int, per_source: int):
 
 def text_cluster(text: Column | str) -> Column:
     """Documents of equal words, apart from case and spacing, are one cluster."""
-    return F.xxhash64(F.regexp_replace(F.trim(F.lower(text)), r"[\x20\x09-\x0D]+", " "))
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
 
 
 def pack(
@@ -106,6 +107,7 @@ def pack(
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     pieces = materialise(pieces.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).alias("n_words")), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("draw", F.xxhash64(F.monotonically_increasing_id())).withColumn("shard", F.pmod("draw", F.lit(shards)))
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without id are told apart by where they lie
+    dealt = pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", own)).withColumn("shard", F.pmod("draw", F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, per_source), PACKED)
     return packed.withColumn("source", F.when(F.col("source") != "\0", F.col("source")))

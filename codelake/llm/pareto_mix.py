@@ -4,7 +4,7 @@ Sources get word targets by weight, limited to ``max_copies`` times their own wo
 reshared.  Inside a source every document has an expected number of copies whose word-weighted
 mean is target / source words; longer documents get somewhat fewer, so that single draws weigh
 less.  The whole part is allocated for certain.  The fraction p is an inclusion probability:
-documents are ranked by (u / (1 - u)) / (p / (1 - p)), u uniform from the id, and taken in that
+documents are ranked by (u / (1 - u)) / (p / (1 - p)), u uniform from id and text, and taken in that
 order until the words left over by the whole copies are reached (the sample has a fixed size in
 words).  In the stretch of the order where the limit falls, documents that would overshoot are
 passed over, and one more is taken if that ends nearer to the target.
@@ -77,7 +77,7 @@ def _expected(sized: DataFrame, targets: DataFrame, id_col: str, max_copies: int
     out = joined.withColumn("__copies", F.round(copies, 9)).withColumn("__whole", F.floor("__copies"))
     odds = lambda p: p / (1.0 - p)
     p = F.col("__copies") - F.col("__whole")
-    out = out.withColumn("__rank", F.when(p > 0, odds(uniform(seed, id_col)) / odds(p)))
+    out = out.withColumn("__rank", F.when(p > 0, odds(uniform(seed, id_col, "__tie")) / odds(p)))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(bucket_rows)))
     place = F.col("__rank") / (1.0 + F.col("__rank"))
     return out.withColumn("__bucket", F.least(buckets - 1, F.floor(place * buckets)))
@@ -100,7 +100,7 @@ def _limits(ranked: DataFrame) -> DataFrame:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["__rank", "__id", "size"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["__rank", "__id", "__tie"], kind="stable").reset_index(drop=True)
     room, extra = float(rows["__room"].iloc[0]), [0] * len(rows)
     for i, size in enumerate(rows["size"]):
         if size <= room:
@@ -128,10 +128,10 @@ def mix(
 ) -> DataFrame:
     """The documents with size, source_size, target, copies and taken (copies times size)."""
     docs = docs.drop(*(c for c in OUTPUTS if c in docs.columns))
-    sized = _keyed(docs, source_col).withColumn("size", word_count(text_col))
-    narrow = materialise(sized.select(F.col(id_col).alias("__id"), *_KEY, "size"), "mix-sizes")
+    sized = _keyed(docs, source_col).withColumn("size", word_count(text_col)).withColumn("__tie", F.xxhash64(text_col))
+    narrow = materialise(sized.select(F.col(id_col).alias("__id"), "__tie", *_KEY, "size"), "mix-sizes")
     if not keep_text:
-        sized = narrow.select(F.col("__id").alias(id_col), "__id", *_KEY, "size")
+        sized = narrow.select(F.col("__id").alias(id_col), "__id", "__tie", *_KEY, "size")
     else:
         sized = sized.withColumn("__id", F.col(id_col))
     targets = materialise(source_targets(narrow, weights, max_copies), "mix-targets")

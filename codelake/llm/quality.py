@@ -9,8 +9,8 @@ broadcast (their number is fixed); each batch of documents is multiplied with th
 The sample has at most ``per_class`` labelled documents of each class (a documented bound); terms are
 extracted where documents lie, only term counts come to the driver.
 
-Edge cases: null, empty and wordless texts have no neighbours and score 0; labels that are null or
-repeated count once; without labels every score is 0; null ids and repeated rows are scored like
+Edge cases: null, empty and wordless texts have no neighbours and score 0; null labels don't count,
+repeated ones once, and ids with both labels not at all; without labels every score is 0; null ids and repeated rows are scored like
 others; further columns are left out.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import agreed_labels, id_remainder
 
 SHAPES, WORDS, MARKS = 1024, 1024, 32
 TERMS = SHAPES + WORDS + MARKS
@@ -130,7 +130,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: in
 
 def fit(documents: DataFrame, labels: DataFrame, *, label_col: str = "quality", fold: int = 4, held_out: int = 2, per_class: int = 2000) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & (id_remainder("doc_id", fold) != held_out)).select("doc_id", F.col(label_col).alias("y")).dropDuplicates(["doc_id"])
+    usable = agreed_labels(labels, label_col).where(id_remainder("doc_id", fold) != held_out)
     sample = [(r.doc_id, r.y) for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     chosen = F.broadcast(documents.sparkSession.createDataFrame(sample, "doc_id long, y int"))
 

@@ -14,15 +14,15 @@ stands; hard clean words are added in rounds, and the sentences' margins set the
 margin is linear in landmark kernels, and each is a sum over subsequences, it folds into one table over
 letter triples; tasks score each distinct word once from the broadcast table (its size is fixed).
 
-Edge cases: null, empty and wordless texts get the score of no evidence; labels that are null or
-repeated count once; without labels of both classes every score is 0.5 less a hair (nothing is
+Edge cases: null, empty and wordless texts get the score of no evidence; null labels don't count,
+repeated ones once, and ids with both labels not at all; without labels of both classes every score is 0.5 less a hair (nothing is
 predicted); null ids and repeated rows are scored like others; further columns are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import agreed_labels, id_remainder
 
 DECAY, SPAN, LONGEST, LETTERS = 0.6, 7, 20, 64
 _BEGIN, _END = 62, 63
@@ -177,7 +177,7 @@ def _best_cut(margins: np.ndarray, y: np.ndarray) -> float:
     return float((m[i] + m[i + 1]) / 2)
 
 
-def _bags(texts: list[str]) -> tuple[list[list[np.ndarray]], dict[str, int]]:
+def _bags(texts: Iterable[str]) -> tuple[list[list[np.ndarray]], dict[str, int]]:
     """Each text's sentences as numbers of their words, and the words' numbers."""
     vocabulary: dict[str, int] = {}
     bags = []
@@ -192,6 +192,14 @@ def _bags(texts: list[str]) -> tuple[list[list[np.ndarray]], dict[str, int]]:
     return bags, vocabulary
 
 
+def _telling(seen: list[np.ndarray], share: float) -> np.ndarray:
+    """How much likelier the counts are if a word belongs to toxic documents than by chance; 0 where a tenth or more are clean."""
+    clean, toxic = (c.astype(float) for c in seen)
+    both = np.maximum(clean + toxic, 1.0)
+    ratio = toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(both * (1 - share), 1e-9))
+    return np.where(toxic >= 0.9 * both, ratio, 0.0)
+
+
 def _before(s: np.ndarray) -> np.ndarray:
     """The word before each (one more than its number), 0 at the beginning."""
     return np.r_[0, s[:-1] + 1]
@@ -201,12 +209,12 @@ def _after(s: np.ndarray) -> np.ndarray:
     return np.r_[s[1:] + 1, 0]
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int = 4, hard: int = 4000, seed: int = 3) -> Model:
+def train(texts: Iterable[str], labels: list[int], landmarks: int = 400, rounds: int = 4, hard: int = 4000, seed: int = 3) -> Model:
     """A model from whole labelled texts."""
     empty = Model(np.zeros(LETTERS**3), -1e-3, 1.0)
+    bags, vocabulary = _bags(texts)
     if len(set(labels)) < 2:
         return empty
-    bags, vocabulary = _bags(texts)
     names = list(vocabulary)
     # how often a word stands between different neighbours: copies of a text don't count again
     seen = [np.zeros(len(names), dtype=np.int64) for _ in (0, 1)]
@@ -215,13 +223,14 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
         before, word, after = (np.concatenate([part(s) for s in own]).astype(np.int64) if own else np.zeros(0, np.int64) for part in (_before, np.asarray, _after))
         places = np.unique((before * (len(names) + 1) + word) * (len(names) + 1) + after)
         seen[label] = np.bincount(places // (len(names) + 1) % (len(names) + 1), minlength=len(names) + 1)[: len(names)]
-    # telling words stand in toxic documents so often that chance doesn't explain it for any word (likelihood ratio)
-    n = [int(c.sum()) for c in seen]
-    share, enough = n[1] / max(1, n[0] + n[1]), np.log(max(1, len(names)) / 0.01)
-    clean, toxic = (c.astype(float) for c in seen)
-    both = np.maximum(clean + toxic, 1.0)
-    ratio = toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(both * (1 - share), 1e-9))
-    ratio = np.where(toxic >= 0.9 * both, ratio, 0.0)
+    # in how many documents it stands: one document, however often it repeats a word, is one witness
+    within = [np.zeros(len(names), dtype=np.int64) for _ in (0, 1)]
+    for bag, y in zip(bags, labels, strict=True):
+        if bag:
+            within[y][np.unique(np.concatenate(bag))] += 1
+    # telling words stand in toxic documents so often that chance explains it for no word, by places and by documents (likelihood ratios)
+    enough, clean = np.log(max(1, len(names)) / 0.01), seen[0]
+    ratio = np.minimum(_telling(seen, sum(map(int, seen[1])) / max(1, int(seen[0].sum() + seen[1].sum()))), _telling(within, sum(labels) / len(labels)))
     telling_ids = np.flatnonzero(ratio > enough)
     telling_ids = sorted(telling_ids.tolist(), key=lambda i: (-ratio[i], names[i]))
     telling = [names[i] for i in telling_ids]
@@ -266,12 +275,18 @@ def train(texts: list[str], labels: list[int], landmarks: int = 400, rounds: int
 
 def fit(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold: int = 5, held_out: int = 0, per_class: int = 1000) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & (id_remainder("doc_id", fold) != held_out)).select("doc_id", F.col(label_col).alias("y")).dropDuplicates(["doc_id"])
+    usable = agreed_labels(labels, label_col).where(id_remainder("doc_id", fold) != held_out)
     sample = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     spark = documents.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.y) for r in sample], "doc_id long, y int"))
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
-    return train(rows["text"].tolist(), rows["y"].tolist())
+    rows, found = documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").orderBy("doc_id", "text").select("text", "y"), []
+
+    def texts() -> Iterator[str]:  # one partition at a time: only the numbers of words stay
+        for r in rows.toLocalIterator():
+            found.append(r.y)
+            yield r.text
+
+    return train(texts(), found)
 
 
 def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

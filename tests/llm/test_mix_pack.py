@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelake.llm import best_fit, pareto_mix
 
@@ -79,6 +80,30 @@ def test_odd_rows(odd, none):
     assert pareto_mix.mix(none).count() == 0 and pareto_mix.mixed_documents(none).count() == 0
 
 
+def test_order_sample_against_brute_force(spark, docs_of):
+    """Per source, by rank: all that fit before the limit are taken, by a plain loop over everything."""
+    docs = docs_of(corpus())
+    got = {r["doc_id"]: r["copies"] for r in pareto_mix.mix(docs, bucket_rows=10**9).collect()}
+    narrow = pareto_mix._keyed(docs, "source").withColumn("size", pareto_mix.word_count("text")).withColumn("__tie", F.xxhash64("text")).withColumn("__id", F.col("doc_id"))
+    targets = pareto_mix.source_targets(narrow, (1, 2, 3), 3)
+    sources = defaultdict(list)
+    for r in pareto_mix._expected(narrow, targets, "__id", 3, 0.5, 20, 10**9).collect():
+        assert 0 <= r["__copies"] <= 3 and r["__whole"] == int(r["__copies"])
+        sources[r["source"]].append(r)
+    for rows in sources.values():
+        assert sum(r["__copies"] * r["size"] for r in rows) == pytest.approx(rows[0]["target"], rel=1e-3)  # the expected words are the target
+        room, want, rest = rows[0]["target"] - sum(r["__whole"] * r["size"] for r in rows), {r["doc_id"]: int(r["__whole"]) for r in rows}, []
+        for r in sorted((r for r in rows if r["__rank"] is not None), key=lambda r: (r["__rank"], r["doc_id"])):
+            if r["size"] <= room:
+                want[r["doc_id"]] += 1
+                room -= r["size"]
+            else:
+                rest.append((abs(r["size"] - room), len(rest), r["doc_id"]))
+        if rest and min(rest)[0] < room:
+            want[min(rest)[2]] += 1
+        assert want == {r["doc_id"]: got[r["doc_id"]] for r in rows}
+
+
 def test_packing_is_whole_and_keeps_apart(docs_of):
     rows = corpus() + [(5000 + i, "the very same text again and again", "hot") for i in range(400)] + [(9000, LONG, "b")]
     out = best_fit.pack(docs_of(rows), capacity=512, shard_rows=300).collect()
@@ -104,6 +129,27 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins.place(4, "c", 2) == (2, 4)  # bin 1 is tighter, but has cluster 2
 
 
+def test_packing_against_brute_force(spark, docs_of):
+    """One shard: pieces by size and draw, each into the tightest bin of all that has room and doesn't conflict."""
+    rows = [(i, " ".join(f"w{i % 40}" for _ in range(1 + (i * i * 7) % 60)), ["hot", "b", None][i % 3 if i % 2 else 0]) for i in range(300)]
+    out = best_fit.pack(docs_of(rows), capacity=50, per_source=2).collect()
+    pieces = spark.createDataFrame([(r["doc_id"], r["piece"], r["cluster"], r["n_words"], r["source"]) for r in out], "doc_id long, piece int, cluster long, n int, source string")
+    bins, want = [], {}
+    for p in sorted(pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", F.lit(None).cast("long"))).collect(), key=lambda p: (-p["n"], p["draw"])):
+        fits = [(50 - sum(x["n"] for x in b), i) for i, b in enumerate(bins) if sum(x["n"] for x in b) + p["n"] <= 50 and all(x["cluster"] != p["cluster"] for x in b) and sum(x["source"] == p["source"] for x in b) < 2]
+        if not fits:
+            bins.append([])
+        at = min(fits)[1] if fits else len(bins) - 1
+        bins[at].append(p)
+        want[p["doc_id"], p["piece"]] = f"0-{at}"
+    assert {(r["doc_id"], r["piece"]): r["bin_id"] for r in out} == want
+
+
+def test_spacing_makes_no_difference(docs_of):
+    out = best_fit.pack(docs_of([(1, "foo bar", "a"), (2, "\nfoo bar", "a"), (3, "foo  Bar\n", "a"), (4, "foobar", "a")])).collect()
+    assert len({r["cluster"] for r in out}) == 2
+
+
 def test_packing_odd_rows(odd, none):
     out = best_fit.pack(odd).collect()
     assert {r["doc_id"] for r in out} == {4, 5, 6, 7, None, 9, 10}

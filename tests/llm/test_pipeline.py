@@ -100,3 +100,20 @@ def test_odd_rows_pass_all_stages(spark, odd, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/odd{n}")
         docs = spark.read.parquet(f"{tmp_path}/odd{n}")
     assert docs.count() > 0
+
+
+def test_columns_named_as_the_stages_name_theirs(spark, docs_of, tmp_path):
+    labels = [(i, 1, 0) for i in range(5)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs_of([(i, f"text number {i} of a few", "s") for i in range(5)]).withColumnsRenamed({"score": "toxicity_score", "h": "kept", "fp": "gone", "first": "row", "role": "leader"})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(r["toxicity_score"] == 0.5 and r["kept"] == 1 and r["row"] == "y" for r in out.collect()), name
+
+
+def test_conflicting_labels_are_left_out(spark):
+    from codelake.llm.common import agreed_labels
+
+    rows = [(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (None, 1), (4, 0), (5, 7)]
+    assert {(r["doc_id"], r["y"]) for r in agreed_labels(spark.createDataFrame(rows, "doc_id long, toxic int"), "toxic").collect()} == {(1, 1), (4, 0)}
