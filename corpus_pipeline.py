@@ -20,13 +20,21 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go; the machine learns from the labels of ``sf_dir``."""
+    """Documents with a score of 0.5 or more go; the machine learns from the labels of ``sf_dir``.
+
+    Null, empty and wordless texts stay; without labels of both classes all stay; repeated rows and null ids are scored
+    like others; further columns stay, whatever their names.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where("toxicity_score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs.select(F.struct("*").alias("row")), model, text_col="row.text", keep=True)
+    return scored.where("toxicity_score < 0.5").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier, or one character apart from an earlier one, go; documents stay."""
+    """Lines that stand earlier, or one character apart from an earlier one, go; documents stay.
+
+    Null texts stay null; rows of one id are told apart by their texts; rows equal in both keep and lose the same lines.
+    """
     return _measured(line_dedup.without_repeated_lines(docs))
 
 
@@ -49,12 +57,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null and wordless texts are never taken; a null source is one of its own; repeated rows count separately.
+    """
     return pareto_mix.mixed_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows; copies of a document never share one."""
+    """Pieces of documents in windows; copies of a document never share one.
+
+    Null and wordless texts have no pieces; null ids and repeated rows are packed like others.
+    """
     return best_fit.pack(docs)
 
 
