@@ -230,7 +230,8 @@ def train(texts: Iterable[str], labels: list[int], landmarks: int = 400, rounds:
             within[y][np.unique(np.concatenate(bag))] += 1
     # telling words stand in toxic documents so often that chance explains it for no word, by places and by documents (likelihood ratios)
     enough, clean = np.log(max(1, len(names)) / 0.01), seen[0]
-    ratio = np.minimum(_telling(seen, sum(map(int, seen[1])) / max(1, int(seen[0].sum() + seen[1].sum()))), _telling(within, sum(labels) / len(labels)))
+    by_places, by_documents = _telling(seen, int(seen[1].sum()) / max(1, int(seen[0].sum() + seen[1].sum()))), _telling(within, sum(labels) / len(labels))
+    ratio = np.minimum(by_places, by_documents)
     telling_ids = np.flatnonzero(ratio > enough)
     telling_ids = sorted(telling_ids.tolist(), key=lambda i: (-ratio[i], names[i]))
     telling = [names[i] for i in telling_ids]
