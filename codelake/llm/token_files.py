@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path
 
 #: White space of any kind; next to one of these a space isn't a safe place to cut.
-_SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
+_ASCII_SPACES = "".join(c for c in _SPACES if c.isascii())
 #: What libraries don't agree on.
 _ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
 _SAFE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
@@ -84,7 +85,10 @@ class PieceEncoder:
         self.after_space = _Table(lambda w: self._piece(" " + w), most_pieces)
 
     def _part(self, part: str) -> bytes:
-        mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        if part.isascii() and part.isprintable():
+            mapped = part.replace(" ", self.letters[32])  # other printable ASCII stands for itself
+        else:
+            mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
@@ -93,8 +97,8 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not self.by_part or any(t in text for t in self.added):
             return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        present = _SPACES.intersection(text)
-        safe = not present & _ODD and text[:1] != " " != text[-1:] and not any(f" {c}" in text or f"{c} " in text for c in present)
+        present = [c for c in (_ASCII_SPACES if text.isascii() else _SPACES) if c in text]
+        safe = _ODD.isdisjoint(present) and "  " not in text and text[:1] != " " != text[-1:] and not any(f" {c}" in text or f"{c} " in text for c in present)
         first, *rest = text.split(" ") if safe else _SAFE_SPACE.split(text)
         return self._piece(first) + b"".join(map(self.after_space.__getitem__, rest))
 
