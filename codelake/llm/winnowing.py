@@ -15,7 +15,8 @@ spaces, too, words fall in step again behind an insertion, and the guarantee hol
 Neighbours: ``with_neighbour`` gives each document its predecessor by id (the smallest id gets the
 largest).  Documents meet in buckets of ids that lie together, about ``BUCKET`` each if ids are spread
 evenly over their range, dense or sparse; rows without id have buckets of their own, by text hash.  Only
-each bucket's first document asks another bucket.  Texts are shuffled once, as both uses read one shuffle.
+each bucket's first document asks another bucket.  Texts are shuffled twice by bucket, for the documents
+and for the last ones of the buckets.
 
 Edge cases: null text counts as empty; empty texts have no hashes and are alike to each other (1.0);
 texts of fewer than k words have one hash of all words; a window longer than the text is the text;
