@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 #: For documents: two sets of shingles with a likeness of 0.8 agree on a sample of 6 with 0.26, on one of 20 such samples at least with 0.998.
 SAMPLES, SAMPLE = 20, 6
+#: So many rounds of links to single members come before all pairs between the groups left.
+TURNS = 4
 _FACTORS = np.random.default_rng(10).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -286,11 +288,20 @@ def _fits(x: str, y: str):
 
 
 def _stars(members: DataFrame, shared: DataFrame, each: int = 2) -> DataFrame:
-    """Links from every node to the first nodes of the samples that it shares with most of them."""
-    first = spread_join(members, shared, "fp", "n").where("node <> first and " + "5 * least(size, first_size) >= 4 * greatest(size, first_size)")
+    """Links from every node to the first nodes, of other groups, of the samples that it shares with most of them."""
+    first = spread_join(members, shared, "fp", "n").where((F.col("group") != F.col("first_group")) & _fits("size", "first_size"))
     counted = first.groupBy("node", "first").agg(F.count("*").alias("c"))
     best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "first")), asc=False), 1, each).alias("best"))
-    return best.select(F.col("node").alias("a"), F.explode("best.first").alias("b"))
+    pairs = best.select("node", F.explode("best.first").alias("first"))
+    return pairs.select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
+
+
+def _open(nodes: DataFrame, sure: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, size, group and fp of the samples that several groups still share."""
+    grouped = nodes.join(components(sure), "node", "left").select("node", "size", F.coalesce("root", "node").alias("group"), F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
+    grouped = materialise(grouped.join(shared.select("fp"), "fp", "left_semi").select("node", "size", "group", "fp"), "grouped-samples")
+    several = grouped.groupBy("fp").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("fp")
+    return materialise(grouped.join(several, "fp", "left_semi").select("node", "size", "group", "fp"), "open-samples")
 
 
 def _across(open_: DataFrame, share: int = 1000) -> DataFrame:
@@ -308,7 +319,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ``leader`` is the (no_id, doc_id, text_hash) of the group's first row.  At this likeness a fingerprint of the whole set
     differs in 15 % of its bits, where no index prunes.  So candidates are what the Gray index links at two bits, and what
     agrees on the fingerprint of one of 20 min-wise samples of the set; every link is verified on the sets.  Links to the
-    first nodes of shared samples come first and join most of what is alike; then all pairs left between groups are tried.
+    first nodes of shared samples come first, then to other single members, in rounds, which join nearly all of a large
+group; what pairs are left between groups after that are all tried.
 
     Null and empty texts, and all texts of the same shingles, are alike; null ids come after others; equal ids are told
     apart by their texts; an empty table gives an empty result.
@@ -322,9 +334,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     names = whole.select("fp", "first")
     indexed = links(whole.select(F.col("fp").alias("node"), "fp"), 2)
     indexed = indexed.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    members = same.select("node", "size", F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
+    members = same.select("node", "size", F.col("node").alias("group"), F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
     shared = members.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(shared.select("fp", F.col("f.node").alias("first"), F.col("f.size").alias("first_size"), "n"), "shared-samples")
+    shared = materialise(shared.select("fp", F.col("f.node").alias("first"), F.col("f.size").alias("first_size"), F.col("f.node").alias("first_group"), "n"), "shared-samples")
     first = materialise(_stars(members, shared).union(indexed).distinct(), "near-pairs")
     asking = members.join(shared.select("fp"), "fp").select("node").union(first.select(F.explode(F.array("a", "b")))).distinct()
     asking = materialise(same.join(asking, "node").select("node", "size", "value", "leader"), "open-nodes")
@@ -333,9 +345,19 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     told = told.join(texts.drop("node"), F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
     sets = _sets(told, "__doc", "__text", 5, True).groupBy("node").agg(F.first("value").alias("set"))
     sets = materialise(sets, "shingle-sets")
-    sure = materialise(_alike(first, sets), "alike")
-    grouped = asking.join(components(sure), "node", "left").select("node", "size", F.coalesce("root", "node").alias("group"), F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
-    rest = _across(materialise(grouped.join(shared.select("fp"), "fp", "left_semi"), "open-samples")).join(first, ["a", "b"], "left_anti")
+    sure, tried = materialise(_alike(first, sets), "alike"), first
+    for turn in range(1, TURNS + 1):
+        open_ = _open(asking, sure, shared)
+        if open_.isEmpty():
+            break
+        head = F.min_by(F.struct("node", "size", "group"), F.xxhash64("node", F.lit(turn))).alias("f")  # another member each time
+        heads = open_.groupBy("fp").agg(head, F.count("*").alias("n"))
+        heads = materialise(heads.select("fp", F.col("f.node").alias("first"), F.col("f.size").alias("first_size"), F.col("f.group").alias("first_group"), "n"), "heads")
+        pairs = materialise(_stars(open_, heads).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        sure, tried = sure.unionByName(materialise(_alike(pairs, sets), "alike")), tried.unionByName(pairs)
+    else:
+        open_ = _open(asking, sure, shared)
+    rest = _across(open_).join(tried, ["a", "b"], "left_anti")
     found = components(sure.unionByName(_alike(materialise(rest, "pairs-left"), sets)))
     rooted = same.join(found, "node", "left").select("node", "n", "leader", F.coalesce("root", "node").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("leader").alias("leader"))
