@@ -343,14 +343,14 @@ def adjacency(spark, sf_dir):
 
 
 @query(f"""WITH {_SUPPLY}, e AS (SELECT s, p, CAST(s AS BIGINT) * 100000000 + p AS edge_no FROM pairs),
-    asked AS (SELECT CAST(s_suppkey AS BIGINT) AS request_id, 'S' || s_suppkey AS node FROM supplier UNION ALL SELECT 1000000000 + CAST(p_partkey AS BIGINT), 'p/' || p_partkey FROM part WHERE p_partkey % 4 = 0),
+    asked AS (SELECT CAST(s_suppkey AS BIGINT) AS request_id, 'S' || s_suppkey AS node FROM supplier UNION ALL SELECT 1000000000 + CAST(p_partkey AS BIGINT), 'p/' || p_partkey FROM part),
     hits AS (SELECT request_id, edge_no, s, p FROM asked JOIN e ON node = 'S' || s OR node = 'p/' || p),
     n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY edge_no) AS r, count(*) OVER (PARTITION BY request_id) AS c FROM hits)
     SELECT request_id, edge_no, 'symbol:S' || s AS source, 'symbol:P' || p AS target, c > 100 AS truncated FROM n WHERE r <= 100""")
 def graph_neighbors(spark, sf_dir):
     snap, none = F.lit("all").alias("snapshot_id"), F.lit(None).cast("string")
     by_symbol = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("request_id"), snap, none.alias("path"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol_id"))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    parts = table(spark, sf_dir, "part")
     by_path = parts.select((F.lit(1_000_000_000) + F.col("p_partkey").cast("long")).alias("request_id"), snap, F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), none.alias("symbol_id"))
     return explore.graph_neighbors(by_symbol.unionByName(by_path), _supply(spark, sf_dir)).select("request_id", "edge_no", "source", "target", "truncated")
 
@@ -447,27 +447,25 @@ def export_closure(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT doc_id, source, lang, string_split(text, ' ')[1] AS w1, string_split(text, ' ')[2] AS w2 FROM documents WHERE len(string_split(text, ' ')) >= 2),
-    r AS (SELECT doc_id, source, lang, w1 AS name FROM d UNION ALL SELECT doc_id, source, lang, w2 FROM d),
-    r2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS ref_no FROM r),
-    cand AS (SELECT r2.doc_id, r2.ref_no, 0 AS lvl, d.doc_id AS c FROM r2 JOIN d ON d.source = r2.source AND d.lang = r2.lang AND d.w1 = r2.name
-        UNION ALL SELECT r2.doc_id, r2.ref_no, 1, d.doc_id FROM r2 JOIN d ON d.source = r2.source AND d.doc_id % 4 = 0 AND d.w2 = r2.name),
-    best AS (SELECT doc_id, ref_no, min(lvl) AS lvl FROM cand GROUP BY ALL),
-    won AS (SELECT doc_id, ref_no, count(DISTINCT c) AS n FROM cand JOIN best USING (doc_id, ref_no, lvl) GROUP BY ALL)
-    SELECT r2.doc_id, CAST(r2.ref_no AS INTEGER) AS ref_no, r2.name, CAST(coalesce(n, 0) AS INTEGER) AS n_candidates, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'candidate' ELSE 'unresolved' END AS status FROM r2 LEFT JOIN won USING (doc_id, ref_no)""")
+    WITH d AS (SELECT doc_id, source, lang, string_split(text, ' ') AS ws FROM documents),
+    r AS (SELECT doc_id, source, lang, unnest(ws) AS name, unnest(range(1, len(ws) + 1)) AS ref_no FROM d),
+    i AS (SELECT source, lang, name, count(DISTINCT doc_id % 3) AS n FROM r WHERE ref_no % 5 = 0 GROUP BY ALL),
+    o AS (SELECT source, name, count(DISTINCT doc_id % 2) AS n FROM r WHERE ref_no % 7 = 0 GROUP BY ALL)
+    SELECT r.doc_id, CAST(r.ref_no AS INTEGER) AS ref_no, r.name, CAST(coalesce(i.n, o.n, 0) AS INTEGER) AS n_candidates,
+        CASE WHEN coalesce(i.n, o.n) = 1 THEN 'resolved' WHEN coalesce(i.n, o.n) > 1 THEN 'candidate' ELSE 'unresolved' END AS status
+    FROM r LEFT JOIN i USING (source, lang, name) LEFT JOIN o USING (source, name)""")
 def scope_resolve(spark, sf_dir):
-    words = F.split("text", " ")
-    docs = table(spark, sf_dir, "documents").where(F.size(words) >= 2).select("doc_id", "source", "lang", words[0].alias("w1"), words[1].alias("w2"))
+    """Every word refers to a name; words at each fifth place define it in the scope of their language, those at each seventh in their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", " ")).alias("at", "name")).withColumn("n", F.col("at") + 1)
     snap, none, empty = F.lit("all").alias("snapshot_id"), F.lit(None).cast("string"), F.array().cast("array<string>")
     holder = F.concat_ws("/", "source", "lang")
     row = lambda df, id_, name, scope: df.select(snap, F.col("source").alias("path"), id_.alias("id"), name.alias("name"), scope.alias("scope"), empty.alias("locals"), empty.alias("export_names"))
-    holders = row(docs.dropDuplicates(["source", "lang"]), holder, F.concat(F.lit(" "), holder), none)
-    inner = row(docs, F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.col("w1"), holder)
-    outer = row(docs.where("doc_id % 4 = 0"), F.concat(F.lit("o"), F.col("doc_id").cast("string")), F.col("w2"), none)
+    of = lambda kind, scope, by: F.concat_ws(" ", F.lit(kind), scope, "name", (F.col("doc_id") % by).cast("string"))
+    holders = row(docs.select("source", "lang").distinct(), holder, F.concat(F.lit(" "), holder), none)
+    inner = row(docs.where("n % 5 = 0"), of("i", holder, 3), F.col("name"), holder).distinct()
+    outer = row(docs.where("n % 7 = 0"), of("o", F.col("source"), 2), F.col("name"), none).distinct()
     symbols = settle(holders.unionByName(inner).unionByName(outer), "symbols")
-    both = docs.select("doc_id", "source", holder.alias("scope"), F.explode(F.array("w1", "w2")).alias("name"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))
-    refs = both.withColumn("n", place).select(snap, F.col("source").alias("path"), "doc_id", (F.col("doc_id") * 2 + F.col("n")).alias("ref_no"), "n", "name", "scope", F.lit(False).alias("member"), none.alias("member_base"))
+    refs = docs.select(snap, F.col("source").alias("path"), "doc_id", (F.col("doc_id") * 10_000_000 + F.col("n")).alias("ref_no"), "n", "name", holder.alias("scope"), F.lit(False).alias("member"), none.alias("member_base"))
     nothing = spark.createDataFrame([], "snapshot_id string, path string, module string, name string, alias string, scope string, reexport boolean, target_path string")
     barriers = spark.createDataFrame([], "snapshot_id string, path string, name string, scope string")
     found = binding.resolve_references(refs, symbols, nothing, barriers)
@@ -590,7 +588,7 @@ def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     labels = docs.select(
-        F.format_string("q%d", F.floor(i / F.when(i % 50 == 1, 50).otherwise(1))).alias("id"), F.when(i % 11 == 0, "nowhere").otherwise(F.col("source")).alias("repository"), F.when(i % 13 == 0, "  ").otherwise(F.substring("text", 1, 20)).alias("query"),
+        F.format_string("q%d", F.floor(i / F.when(i % 50 == 1, 50).otherwise(1))).alias("id"), F.when(i % 11 == 0, "nowhere").otherwise(F.col("source")).alias("repository"), F.when(i % 13 == 0, "  ").otherwise(F.col("text")).alias("query"),
         F.when(i % 17 == 0, "train").when(i % 4 == 0, "dev").otherwise("test").alias("split"),
         F.array(F.struct(F.lit("p").alias("path"), (i % 19).cast("int").alias("start_line"), (i % 23).cast("int").alias("end_line"))).alias("relevant"),
     )
@@ -598,7 +596,7 @@ def _labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query("""
-    WITH l AS (SELECT 'q' || CAST(floor(doc_id / CASE WHEN doc_id % 50 = 1 THEN 50 ELSE 1 END) AS BIGINT) AS id, doc_id AS i, left(text, 20) AS q FROM documents)
+    WITH l AS (SELECT 'q' || CAST(floor(doc_id / CASE WHEN doc_id % 50 = 1 THEN 50 ELSE 1 END) AS BIGINT) AS id, doc_id AS i, coalesce(text, '') AS q FROM documents)
     SELECT 'unique-query' AS violation, id AS subject FROM l GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repository', id FROM l WHERE i % 11 = 0 UNION ALL SELECT 'split', id FROM l WHERE i % 17 = 0
     UNION ALL SELECT 'text', id FROM l WHERE i % 13 = 0 OR trim(q) = '' UNION ALL SELECT 'range', id FROM l WHERE i % 19 < 1 OR i % 23 < i % 19""")
 def label_violations(spark, sf_dir):
@@ -606,17 +604,27 @@ def label_violations(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT doc_id, source AS repository, string_split(text, ' ')[1] AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS no FROM documents),
-    s AS (SELECT source AS repository, string_split(text, ' ')[1] AS name, string_split(text, ' ')[2] AS qualified_name, doc_id AS start_byte, doc_id % 100 + 1 AS a, doc_id % 100 + doc_id % 60 + 1 AS b FROM documents),
-    m AS (SELECT d.repository, d.no, arg_min(a, start_byte) AS a, arg_min(b, start_byte) AS b FROM d JOIN s ON s.repository = d.repository AND (s.name = d.name OR s.qualified_name = d.name) GROUP BY ALL)
+    WITH d AS (SELECT doc_id, source AS repository, string_split(text, ' ') AS ws FROM documents),
+    w AS (SELECT doc_id, repository, unnest(ws) AS name, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i] || '.' || ws[i + 1])) AS qualified_name, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+    s AS (SELECT *, doc_id * 10000000 + pos AS start_byte, (doc_id + pos) % 100 + 1 AS a, (doc_id + pos) % 100 + (doc_id + pos) % 60 + 1 AS b FROM w),
+    asked AS (SELECT repository, name FROM s UNION SELECT repository, ws[len(ws) // 2] || '.' || ws[len(ws) // 2 + 1] FROM d WHERE len(ws) >= 2),
+    n AS (SELECT repository, name, row_number() OVER (PARTITION BY repository ORDER BY name) AS no FROM asked),
+    f AS (SELECT repository, name, arg_min(a, start_byte) AS a, arg_min(b, start_byte) AS b FROM (SELECT repository, name, start_byte, a, b FROM s UNION ALL SELECT repository, qualified_name, start_byte, a, b FROM s) GROUP BY ALL),
+    m AS (SELECT repository, no, a, b FROM n JOIN f USING (repository, name))
     SELECT repository || '-' || lpad(CAST(no AS VARCHAR), CAST(greatest(2, length(CAST(no AS VARCHAR))) AS INTEGER), '0') AS id, repository, CASE WHEN row_number() OVER (PARTITION BY repository ORDER BY no) <= 5 THEN 'dev' ELSE 'test' END AS split, a AS start_line, least(b, a + 30) AS end_line FROM m""")
 def propose_labels(spark, sf_dir):
-    words = F.split("text", " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repository"), words[0].alias("name"), F.try_element_at(words, F.lit(2)).alias("qualified_name"))
-    no = F.row_number().over(Window.partitionBy("repository").orderBy("doc_id"))
-    specs = docs.select("repository", no.alias("no"), F.lit("").alias("query"), F.lit("p").alias("path"), F.col("name").alias("symbol_name"), F.lit("").alias("category"))
-    i = F.col("doc_id")
-    symbols = docs.select("repository", F.lit("p").alias("path"), "name", "qualified_name", i.alias("start_byte"), (i % 100 + 1).alias("start_line"), (i % 100 + i % 60 + 1).alias("end_line"))
+    """Every word is a symbol, qualified by the word behind it; every word of a source is asked for, and a pair from the middle of each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repository"), F.split("text", " ").alias("ws"))
+    words = docs.select("doc_id", "repository", "ws", F.posexplode("ws").alias("at", "name"))
+    i = F.col("doc_id") + F.col("at") + 1
+    symbols = words.select(
+        "repository", F.lit("p").alias("path"), "name", F.concat("name", F.lit("."), F.get("ws", F.col("at") + 1)).alias("qualified_name"), (F.col("doc_id") * 10_000_000 + F.col("at") + 1).alias("start_byte"),
+        (i % 100 + 1).alias("start_line"), (i % 100 + i % 60 + 1).alias("end_line"),
+    )
+    middle = F.floor(F.size("ws") / 2).cast("int")
+    pairs = docs.where(F.size("ws") >= 2).select("repository", F.concat(F.get("ws", middle - 1), F.lit("."), F.get("ws", middle)).alias("name"))
+    no = F.row_number().over(Window.partitionBy("repository").orderBy("name"))
+    specs = words.select("repository", "name").union(pairs).distinct().select("repository", no.alias("no"), F.lit("").alias("query"), F.lit("p").alias("path"), F.col("name").alias("symbol_name"), F.lit("").alias("category"))
     return evaluate.propose_labels(specs, symbols).select("id", "repository", "split", "start_line", "end_line")
 
 
@@ -676,44 +684,71 @@ def parse_cache_keys(spark, sf_dir):
 
 
 def _code(spark, sf_dir) -> DataFrame:
-    """A Python file for each document: it imports a function of the next one and calls it, after a comment in the document's words."""
+    """A Python file for each document: it imports a function of the next one and calls it, and has a function for each line of
+    the text, which stands above it as a comment; that function is named by the line's first term and calls with all its terms."""
     docs = table(spark, sf_dir, "documents")
     own, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
-    comment = F.concat(F.lit("# "), F.regexp_replace(F.substring("text", 1, 40), r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " "), F.lit("\n"))
-    body = F.concat(F.lit("from .m"), after, F.lit(" import w"), after, F.lit("\n\n\nclass C"), own, F.lit(":\n    def w(self):\n        pass\n\n\ndef w"), own, F.lit("(x):\n    return w"), after, F.lit("(x)\n"))
-    files = docs.select("doc_id", F.lit("all").alias("repository_id"), F.lit("all").alias("snapshot_id"), F.concat(F.lit("pkg/m"), own, F.lit(".py")).alias("path"), F.concat(comment, body).cast("binary").alias("content"))
+    head = F.concat(F.lit("from .m"), after, F.lit(" import w"), after, F.lit("\n\n\nclass C"), own, F.lit(":\n    def w(self):\n        pass\n\n\ndef w"), own, F.lit("(x):\n    return w"), after, F.lit("(x)\n"))
+
+    def function(line):
+        terms = F.regexp_extract_all(line, F.lit("[A-Za-z0-9]+"), F.lit(0))
+        name, values = F.coalesce(F.get(terms, F.lit(0)), F.lit("")), F.transform(terms, lambda t: F.concat(F.lit("v_"), t))
+        comment = F.regexp_replace(line, r"[\x00\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ")
+        return F.concat(F.lit("# "), comment, F.lit("\ndef v_"), name, F.lit("(x):\n    return w"), after, F.lit("("), F.array_join(values, ", "), F.lit(")\n"))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), function)
+    files = docs.select("doc_id", F.lit("all").alias("repository_id"), F.lit("all").alias("snapshot_id"), F.concat(F.lit("pkg/m"), own, F.lit(".py")).alias("path"), F.concat(head, F.array_join(lines, "")).cast("binary").alias("content"))
     return capture.decoded(files)
 
 
-_CODE = r"""code AS (SELECT doc_id, 'pkg/m' || doc_id || '.py' AS path, '# ' || regexp_replace(left(text, 40), '[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', ' ', 'g') || chr(10) AS comment,
+_CODE = r"""code AS (SELECT doc_id, 'pkg/m' || doc_id || '.py' AS path, string_split(coalesce(text, ''), chr(10)) AS ls,
     'from .m' || (doc_id + 1) || ' import w' || (doc_id + 1) || chr(10) || chr(10) || chr(10) AS head, 'class C' || doc_id || ':' || chr(10) AS cls, '    def w(self):' || chr(10) || '        pass' AS method,
     'def w' || doc_id || '(x):' || chr(10) || '    return w' || (doc_id + 1) || '(x)' AS fn FROM documents),
-    placed AS (SELECT *, strlen(comment) + strlen(head) AS a FROM code)"""
+    placed AS (SELECT *, strlen(head) AS a, strlen(head) + strlen(cls) + strlen(method) + 4 + strlen(fn) AS b FROM code),
+    cut AS (SELECT doc_id, path, b, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM placed),
+    termed AS (SELECT *, regexp_extract_all(line, '[A-Za-z0-9]+') AS t FROM cut),
+    lines AS (SELECT doc_id, path, b, i, t, 'v_' || coalesce(t[1], '') AS name, strlen('# ' || regexp_replace(line, '[\x00\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', ' ', 'g') || chr(10)) AS above,
+        strlen('def v_' || coalesce(t[1], '') || '(x):' || chr(10) || '    return w' || (doc_id + 1) || '(' || array_to_string(list_transform(t, lambda x: 'v_' || x), ', ') || ')') AS n FROM termed)"""
 
 
 @query(f"""WITH {_CODE}, s AS (
         SELECT path, 'C' || doc_id AS qualified_name, 'class' AS kind, a AS start_byte, a + strlen(cls) + strlen(method) AS end_byte FROM placed UNION ALL
         SELECT path, 'C' || doc_id || '.w', 'method', a + strlen(cls) + 4, a + strlen(cls) + strlen(method) FROM placed UNION ALL
-        SELECT path, 'w' || doc_id, 'function', a + strlen(cls) + strlen(method) + 3, a + strlen(cls) + strlen(method) + 3 + strlen(fn) FROM placed)
+        SELECT path, 'w' || doc_id, 'function', a + strlen(cls) + strlen(method) + 3, a + strlen(cls) + strlen(method) + 3 + strlen(fn) FROM placed UNION ALL
+        SELECT path, name, 'function', e - n - 1, e - 1 FROM (SELECT path, name, n, b + sum(above + n + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM lines))
     SELECT path, qualified_name, kind, CAST(start_byte AS INTEGER) AS start_byte, CAST(end_byte AS INTEGER) AS end_byte FROM s""")
 def python_symbols(spark, sf_dir):
     parsed = structure.extract_structure(_code(spark, sf_dir))
     return structure.table_of(parsed, "symbols").select("path", "qualified_name", "kind", "start_byte", "end_byte")
 
 
-@query("""
-    SELECT 'pkg/m' || doc_id || '.py' AS path, 'w' || (doc_id + 1) AS name, CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 'resolved' ELSE 'unresolved' END AS status,
-        CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN 'pkg/m' || (doc_id + 1) || '.py' END AS target_path FROM documents""")
-def bound_calls(spark, sf_dir):
+def _bound(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     files = settle(_code(spark, sf_dir), "files")
     parsed = settle(structure.extract_structure(files), "parsed")
     part = lambda kind: structure.table_of(parsed, kind)
-    bound, edges = binding.bind(files, part("symbols"), part("imports"), part("refs"), part("barriers"))
-    calls = edges.where("kind = 'call'").select(F.col("source_path").alias("path"), F.col("target_symbol").alias("target"), "target_path")
+    return binding.bind(files, part("symbols"), part("imports"), part("refs"), part("barriers"))
+
+
+@query("""
+    WITH c AS (SELECT doc_id, unnest(range(1 + len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+    SELECT 'pkg/m' || c.doc_id || '.py' AS path, 'w' || (c.doc_id + 1) AS name, CASE WHEN d.doc_id IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
+        'pkg/m' || d.doc_id || '.py' AS target_path FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id + 1""")
+def bound_calls(spark, sf_dir):
+    bound, edges = _bound(spark, sf_dir)
+    calls = edges.where("kind = 'call'").select(F.col("source_path").alias("path"), F.col("target_symbol").alias("target"), "target_path").distinct()
     return bound.where("role = 'call'").join(calls, ["path", "target"], "left").select("path", "name", "status", "target_path")
 
 
-@query("SELECT 'pkg/m' || doc_id || '.py' AS path, doc_id % 2 = 0 AS parse_hit, CAST(3 AS INTEGER) AS n_symbols FROM documents")
+@query(f"""WITH {_CODE}, own AS (SELECT path, name, count(*) AS n FROM lines GROUP BY ALL), r AS (SELECT path, 'v_' || unnest(t) AS name FROM lines)
+    SELECT path, name, count(*) AS n_refs, CAST(coalesce(any_value(n), 0) AS INTEGER) AS n_candidates, CASE WHEN any_value(n) = 1 THEN 'resolved' WHEN any_value(n) > 1 THEN 'candidate' ELSE 'unresolved' END AS status
+    FROM r LEFT JOIN own USING (path, name) GROUP BY path, name""")
+def bound_names(spark, sf_dir):
+    """What the terms of all lines refer to: the functions of their file with that name."""
+    bound, _ = _bound(spark, sf_dir)
+    return bound.where("role = 'reference' and startswith(name, 'v_')").groupBy("path", "name", F.size("candidates").alias("n_candidates"), "status").agg(F.count("*").alias("n_refs"))
+
+
+@query("SELECT 'pkg/m' || doc_id || '.py' AS path, doc_id % 2 = 0 AS parse_hit, CAST(3 + len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS n_symbols FROM documents")
 def parse_reuse(spark, sf_dir):
     files = settle(_code(spark, sf_dir), "files")
     first = structure.extract_structure(files.where("doc_id % 2 = 0")).withColumn("key", key_of(F.lit(structure.VERSION), "path", "content_hash"))
