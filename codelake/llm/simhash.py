@@ -280,11 +280,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, share: int = 2000) -> DataFrame:
     return left.join(right, ["b", "part"]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def _fits(x: str, y: str):
-    """Sets whose sizes allow a likeness of 0.8."""
-    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-
-
 def _stars(members: DataFrame, shared: DataFrame, each: int = 2) -> DataFrame:
     """Links from every node to the first nodes of the samples that it shares with most of them."""
     first = spread_join(members, shared, "fp", "n").where("node <> first and " + "5 * least(size, first_size) >= 4 * greatest(size, first_size)")
@@ -293,13 +288,40 @@ def _stars(members: DataFrame, shared: DataFrame, each: int = 2) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.explode("best.first").alias("b"))
 
 
-def _across(open_: DataFrame, share: int = 1000) -> DataFrame:
-    """All pairs that share a sample but not a group, in parts of bounded size."""
-    parts = open_.groupBy("fp").agg(F.count("*").alias("n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-    dealt = open_.join(parts.select("fp", F.ceil(F.col("n") / share).cast("int").alias("parts")), "fp")
-    left = dealt.select("fp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("group").alias("g"), F.col("size").alias("m"))
-    right = dealt.select("fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("group").alias("h"), F.col("size").alias("n"))
-    return left.join(right, ["fp", "part"]).where((F.col("a") > F.col("b")) & (F.col("g") != F.col("h")) & _fits("m", "n")).select("a", "b").distinct()
+def _ranked(sets: DataFrame) -> DataFrame:
+    """node, group, size, s, i: the rarest shingles of every set, with their places in the order of rarity.
+
+    Two sets with a likeness of 0.8 have a shingle in common before place 0.2 * size of either (prefix filter).  Shingles of
+    one set only come first in this order and meet nothing, so a set with over a fifth of them asks for no partner at all.
+    """
+    each = sets.select("node", "group", F.explode("set").alias("s"))
+    count = each.groupBy("s").agg(F.count("*").alias("n"), F.min("group").alias("x"), F.max("group").alias("y")).where("n > 1")
+    count = materialise(count.select("s", "n", F.col("n").alias("df"), (F.col("x") != F.col("y")).alias("open")), "shingle-counts")
+    rare = spread_join(each.select("node", "s"), count, "s", "n").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s", "open"))).alias("ranked"))
+    placed = sets.select("node", "group", F.size("set").alias("size")).join(rare, "node").select("node", "group", "size", F.size("ranked").alias("m"), F.posexplode("ranked").alias("j", "r"))
+    placed = placed.select("node", "group", "size", "r.s", "r.open", (F.col("size") - F.col("m") + F.col("j")).alias("i"))
+    return placed.where("open and 5 * (size - i) >= 4 * size").drop("open")
+
+
+_REACH = "group <> {h} and 9 * least(size - i, {n} - {j}) >= 4 * (size + {n})"
+
+
+def _centres(ranked: DataFrame, each: int = 2) -> DataFrame:
+    """Links from every node to those that have its rarest shingles earliest in their own order, which is where the middle of a group lies."""
+    first = ranked.groupBy("s").agg(F.min(F.struct("i", "node", "group", "size")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    asked = spread_join(ranked, materialise(first, "centres"), "s", "n").where(_REACH.format(h="f.group", n="f.size", j="f.i"))
+    counted = asked.groupBy("node", F.col("f.node").alias("first")).agg(F.count("*").alias("c"))
+    best = counted.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "first")), asc=False), 1, each).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.first").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _across(ranked: DataFrame, share: int = 1000) -> DataFrame:
+    """Pairs of different groups that can have a likeness of 0.8 by the place of a shingle in both, in parts of bounded size."""
+    parts = ranked.groupBy("s").agg(F.count("*").alias("n"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
+    dealt = ranked.join(parts.select("s", F.ceil(F.col("n") / share).cast("int").alias("parts")), "s")
+    left = dealt.select("s", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), "group", "size", "i")
+    right = dealt.select("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("group").alias("h"), F.col("size").alias("n"), F.col("i").alias("j"))
+    return left.join(right, ["s", "part"]).where("a > b and " + _REACH.format(h="h", n="n", j="j")).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +330,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ``leader`` is the (no_id, doc_id, text_hash) of the group's first row.  At this likeness a fingerprint of the whole set
     differs in 15 % of its bits, where no index prunes.  So candidates are what the Gray index links at two bits, and what
     agrees on the fingerprint of one of 20 min-wise samples of the set; every link is verified on the sets.  Links to the
-    first nodes of shared samples come first and join most of what is alike; then all pairs left between groups are tried.
+    first nodes of shared samples come first and join most of what is alike; then the sets that share a sample with any other
+    are joined by their rarest shingles, without loss, wherever the groups still differ (again the middles of groups first).
 
     Null and empty texts, and all texts of the same shingles, are alike; null ids come after others; equal ids are told
     apart by their texts; an empty table gives an empty result.
@@ -334,8 +357,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = _sets(told, "__doc", "__text", 5, True).groupBy("node").agg(F.first("value").alias("set"))
     sets = materialise(sets, "shingle-sets")
     sure = materialise(_alike(first, sets), "alike")
-    grouped = asking.join(components(sure), "node", "left").select("node", "size", F.coalesce("root", "node").alias("group"), F.explode(F.slice("value", 2, SAMPLES)).alias("fp"))
-    rest = _across(materialise(grouped.join(shared.select("fp"), "fp", "left_semi"), "open-samples")).join(first, ["a", "b"], "left_anti")
+    grouped = sets.join(components(sure), "node", "left").select("node", "set", F.coalesce("root", "node").alias("group"))
+    ranked = materialise(_ranked(materialise(grouped, "open-sets")), "rare-shingles")
+    second = materialise(_centres(ranked).join(first, ["a", "b"], "left_anti"), "centre-pairs")
+    sure = materialise(sure.unionByName(_alike(second, sets)), "alike")
+    regrouped = ranked.drop("group").join(components(sure), "node", "left").withColumn("group", F.coalesce("root", "node"))
+    rest = _across(materialise(regrouped, "open-shingles")).join(first.unionByName(second), ["a", "b"], "left_anti")
     found = components(sure.unionByName(_alike(materialise(rest, "pairs-left"), sets)))
     rooted = same.join(found, "node", "left").select("node", "n", "leader", F.coalesce("root", "node").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("leader").alias("leader"))
