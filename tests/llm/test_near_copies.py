@@ -59,6 +59,25 @@ def test_recall_just_above_the_likeness(docs_of):
     assert all(got[i] == i for i in range(300))
 
 
+def test_rare_shingles_join_what_is_alike_across_groups(spark):
+    """Sets with no links yet: every pair at 0.8 or more is asked, of whatever sizes; what is verified equals brute force."""
+    rng = random.Random(6)
+    sets = [set(range(100))]
+    for i in range(80):
+        gone, new = rng.sample(range(100), rng.randrange(30)), rng.randrange(12)
+        sets.append((set(range(100)) - set(gone)) | {1000 * i + 1000 + k for k in range(new)})
+    rows = [(n, sorted(v), n) for n, v in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, `set` array<long>, group long")
+    ranked = simhash._ranked(table).cache()
+    want = {(a, b) for a in range(81) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and sets[a] != sets[b]}
+    for share in (1000, 7):
+        asked = simhash._across(ranked, share).cache()
+        assert want and want <= {(r["a"], r["b"]) for r in asked.collect()}
+        same = {(a, b) for a in range(81) for b in range(a) if sets[a] == sets[b]}
+        assert {(r["a"], r["b"]) for r in simhash._alike(asked, table).collect()} - same == want
+    assert all(r["a"] > r["b"] for r in simhash._centres(ranked).collect())
+
+
 def test_equal_ids_and_texts(docs_of):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     out = simhash.similar_documents(docs_of([(5, a, "s"), (5, b, "s"), (6, b, "s"), (None, a, "s"), (None, None, "s"), (7, "", "s")])).collect()
