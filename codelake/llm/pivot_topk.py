@@ -145,8 +145,8 @@ def _scan(pivots, width: int, k: int):
         table, searches, last, of_vectors, ids, v = pivots.value, {}, None, None, None, None
         for frame in frames:
             for query_ids, queries, vec_ids, vectors in frame.itertuples(index=False):
-                if vec_ids != last:
-                    last, (ids, v) = vec_ids, unpacked(vec_ids, vectors)
+                if (vec_ids, vectors) != last:  # blocks may hold the same ids with other vectors
+                    last, (ids, v) = (vec_ids, vectors), unpacked(vec_ids, vectors)
                     of_vectors = _distances(v, table)
                 search = searches.get(query_ids)
                 if search is None:

@@ -36,6 +36,20 @@ def test_topk_against_brute_force(spark, kind, block, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute_topk(rows)
 
 
+def test_repeated_ids_over_blocks_in_the_same_order(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2048, 8)).astype(np.float32)
+    rows = [(i % 1024, v[i].tolist(), 9, 9) for i in range(2048)]  # two blocks of equal ids, with other vectors
+    out = pivot_topk.top_k(spark.createDataFrame(rows, VECTORS).coalesce(1), F.col("vec_id") % 50 == 0)
+    whole = np.floor(256 * v.astype(np.float64)).astype(np.int64)
+    asked = {a: min(whole[a].tolist(), whole[a + 1024].tolist()) for a in range(0, 1024, 50)}
+    want = []
+    for a, q in asked.items():
+        best = sorted((-int(np.dot(q, whole[i])), i % 1024) for i in range(2048) if i % 1024 != a)[:5]
+        want += [(a, b, -s) for s, b in best]
+    assert sorted((r.query_id, r.vec_id, r.score) for r in out.collect()) == sorted(want)
+
+
 def test_pivots_eliminate_candidates():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 8))[rng.integers(0, 40, 3000)] + 0.01 * rng.normal(size=(3000, 8))
