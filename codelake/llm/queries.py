@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, best_fit, line_dedup, pareto_mix, pivot_topk, quality, simhash, token_files, toxicity, winnowing
+from . import arc_warc, best_fit, conversation_repair, line_dedup, pareto_mix, pivot_topk, quality, simhash, token_files, toxicity, winnowing
 from .common import id_remainder, table
 
 
@@ -57,9 +57,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_warc, op3_toxicity, op4_mix, op5_winnowing, op6_token_files, op7_line_dedup, op8_best_fit, op9_topk, op10_simhash)
+    for f in (op1_quality, op2_warc, op3_toxicity, op4_mix, op5_winnowing, op6_token_files, op7_line_dedup, op8_best_fit, op9_topk, op10_simhash, op13_conversation_repair)
 }
 
 ORACLES = {
@@ -94,4 +98,34 @@ ORACLES = {
               FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+        c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        lots AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda h, b: xor(h // 256, t[xor(h % 256, b) + 1]), 4294967295), 4294967295) % 20 AS lot FROM c, steps),
+        d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT * FROM lots WHERE lot > 0 UNION ALL SELECT * FROM lots WHERE lot = 3)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text)) AS i FROM d),
+        f AS (SELECT *, left(role, 1) AS init, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM n),
+        -- the cheapest edits (cost, audit, text) that end in each state: nothing, s, u, a
+        v(conv_id, i, s0, s1, s2, s3) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {'c': 0, 'a': '', 't': ''}, {'c': 1000000000, 'a': '', 't': ''}, {'c': 5, 'a': 'I', 't': 'user:' || chr(10)}, {'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)} FROM f
+            UNION ALL
+            SELECT conv_id, i, s0, s1, s2, list_sort([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || 'assistant:' || chr(10)}])[1]
+            FROM (SELECT conv_id, i, s0, s1, list_sort([s2] || list_transform([s0, s1, s3], lambda s: {'c': s.c + 5, 'a': s.a || 'I', 't': s.t || 'user:' || chr(10)}))[1] AS s2, s3
+            FROM (SELECT v.conv_id, f.i, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t} AS s0,
+                list_sort([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}] || CASE WHEN sound AND init = 's' THEN [{'c': s0.c + x, 'a': s0.a || 'K', 't': s0.t || line}] ELSE [] END)[1] AS s1,
+                list_sort([{'c': s2.c + 2, 'a': s2.a || 'D', 't': s2.t}] || CASE WHEN sound THEN list_transform([s0, s1, s3], lambda s: {'c': s.c + x + 1, 'a': s.a || 'R', 't': s.t || 'user:' || text || chr(10)}) ELSE [] END
+                    || CASE WHEN sound AND init = 'u' THEN list_transform([s0, s1, s3], lambda s: {'c': s.c + x, 'a': s.a || 'K', 't': s.t || line}) ELSE [] END)[1] AS s2,
+                list_sort([{'c': s3.c + 2, 'a': s3.a || 'D', 't': s3.t}] || CASE WHEN sound THEN [{'c': s2.c + x + 1, 'a': s2.a || 'R', 't': s2.t || 'assistant:' || text || chr(10)}] ELSE [] END
+                    || CASE WHEN sound AND init = 'a' THEN [{'c': s2.c + x, 'a': s2.a || 'K', 't': s2.t || line}] ELSE [] END)[1] AS s3
+                FROM v JOIN (SELECT *, fault IN ('', 't') AS sound, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS x, role || ':' || text || chr(10) AS line FROM f) f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1))),
+        best AS (SELECT conv_id, list_sort([s0, s3])[1] AS w FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        pairs AS (SELECT *, lead(init) OVER (PARTITION BY conv_id ORDER BY i) AS after, lead(i) OVER (PARTITION BY conv_id ORDER BY i) AS more FROM f),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+            count(*) FILTER (WHERE more IS NOT NULL AND init || after NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit, sha256(CASE WHEN coalesce(w.t, '') = '' THEN '' ELSE left(w.t, length(w.t) - 1) END) AS repaired_sha256
+        FROM ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id""",
 }
