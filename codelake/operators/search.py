@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import settle
-from .lexical import allowed, bm25, ranked, wishes
+from .lexical import allowed, bm25, bm25_of_blocks, ranked, wishes
 from .vectors import vector_topk
 
 STRATEGIES = ("vector-only", "bm25", "hybrid", "ast-aware")
@@ -98,13 +98,19 @@ def search(
     chunks: DataFrame,
     index: DataFrame | None = None,
     lengths: DataFrame | None = None,
+    blocks: dict[str, DataFrame] | None = None,
     vectors: DataFrame | None = None,
     symbols: DataFrame | None = None,
     edges: DataFrame | None = None,
 ) -> DataFrame:
-    """query_id, rank, chunk_id, score, origins.  queries: query_id, snapshot_id, query, vector, language, path_prefix."""
+    """query_id, rank, chunk_id, score, origins.  queries: query_id, snapshot_id, query, vector, language, path_prefix.
+
+    The keyword index is given as stored ``blocks``, or as postings (``index``) and ``lengths``.
+    """
     queries, _ = checked(queries, strategy, k)
-    lexical = bm25(index, lengths, queries) if strategy != "vector-only" else None
+    lexical = None
+    if strategy != "vector-only":
+        lexical = bm25_of_blocks(blocks, queries) if blocks else bm25(index, lengths, queries)
     semantic = vector_topk(vectors, queries) if strategy != "bm25" else None
     if strategy in ("bm25", "vector-only"):
         name, hits = ("bm25", lexical) if lexical is not None else ("vector", semantic)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import settle
 from ..functions.text import code_terms, key_of
 from .lexical import TOP, ranked
 
@@ -64,63 +65,76 @@ def same_model(queries: DataFrame, snapshots: DataFrame, fingerprint: str) -> Da
     return queries.join(other, "snapshot_id", "left_semi").withColumn("error", F.lit("the snapshot has another embedding model"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP, query_block: int = 1024) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP, query_tile: int = 4096, vector_tile: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: the nearest chunks of the query's snapshot by cosine.
 
     vectors: snapshot_id, chunk_id, path, language, vector; queries: query_id, snapshot_id, vector, language, path_prefix.
-    Queries are broadcast in blocks of a fixed size; each task keeps ``top`` candidates per query.
+    Queries and vectors of a snapshot are dealt to tiles of about the sizes given; each pair of tiles is a task of its
+    own that keeps ``top`` candidates per query, and these are ranked together.  The vectors are scanned once, however
+    many queries there are; nothing comes to the driver.
     """
-    spark = vectors.sparkSession
-    parts, block = [], []
-
-    def flush() -> None:
-        shared = spark.sparkContext.broadcast(block.copy())
-        parts.append(vectors.where("vector is not null").select("snapshot_id", "chunk_id", "path", "language", "vector").mapInPandas(_nearest(shared, top), "query_id long, chunk_id string, score double"))
-        block.clear()
-
-    wanted = queries.select("query_id", "snapshot_id", "vector", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("path_prefix", F.lit("")).alias("path_prefix"))
-    for row in wanted.where("vector is not null").toLocalIterator():
-        block.append((row.query_id, row.snapshot_id, row.language, row.path_prefix, np.asarray(row.vector, dtype=np.float64)))
-        if len(block) == query_block:
-            flush()
-    if block or not parts:
-        flush()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, top)
-
-
-def _nearest(shared, top: int):
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def kept(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(ids) > top:  # all that tie with the last one stay
-            best = scores >= np.partition(scores, -top)[-top]
-            return ids[best], scores[best]
-        return ids, scores
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = shared.value
-        best = [(np.empty(0, object), np.empty(0)) for _ in queries]
-        asked = unit(np.stack([q[4] for q in queries])) if queries else None
-        for frame in frames:
-            if not queries or frame.empty:
-                continue
-            matrix = unit(np.stack(frame["vector"].to_list()).astype(np.float64))
-            scores = np.round(asked @ matrix.T, 6)
-            ids, snapshots, paths, languages = (frame[c].to_numpy() for c in ("chunk_id", "snapshot_id", "path", "language"))
-            for i, ((_, snapshot, language, prefix, _), own) in enumerate(zip(queries, scores, strict=True)):
-                fits = snapshots == snapshot
-                if language:
-                    fits &= languages == language
-                if prefix:
-                    fits &= np.array([p.startswith(prefix) for p in paths])
-                rows = np.flatnonzero(fits)
-                best[i] = kept(np.concatenate([best[i][0], ids[rows]]), np.concatenate([best[i][1], own[rows]]))
-        n = [len(ids) for ids, _ in best]
-        if sum(n):
-            yield pd.DataFrame({"query_id": np.repeat([q[0] for q in queries], n), "chunk_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best])})
+    held = vectors.where("vector is not null").select("snapshot_id", "chunk_id", "path", "language", F.col("vector").cast("array<double>").alias("vector"))
+    plain = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    wanted = queries.where("vector is not null").select("query_id", "snapshot_id", F.col("vector").cast("array<double>").alias("vector"), plain("language"), plain("path_prefix"))
+    tiles = lambda df, size, name: df.groupBy("snapshot_id").agg(F.ceil(F.count("*") / size).alias(name))
+    n = settle(tiles(held, vector_tile, "n_vector").join(tiles(wanted, query_tile, "n_query"), "snapshot_id"), "tiles")
+    all_of = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    dealt = lambda key, name: F.pmod(F.xxhash64(key), name)
+    left = held.join(n, "snapshot_id").withColumn("v", dealt("chunk_id", "n_vector")).withColumn("q", all_of("n_query"))
+    right = wanted.join(n, "snapshot_id").withColumn("q", dealt("query_id", "n_query")).withColumn("v", all_of("n_vector"))
+    right = right.select(F.col("snapshot_id").alias("of_snapshot"), F.col("q").alias("of_q"), F.col("v").alias("of_v"), "query_id", "vector", "language", "path_prefix")
+    left = left.select("snapshot_id", "q", "v", "chunk_id", "path", "language", "vector")
+    met = left.groupBy("snapshot_id", "q", "v").cogroup(right.groupBy("of_snapshot", "of_q", "of_v"))
+    return ranked(met.applyInPandas(_nearest(top), "query_id long, chunk_id string, score double"), top)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_list()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best_rows(row: np.ndarray, score: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` entries of each row by (score descending, place)."""
+    order = np.lexsort((at, -score, row))
+    row, score, at = row[order], score[order], at[order]
+    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    nth = np.arange(len(row)) - np.repeat(begins, np.diff(np.r_[begins, len(row)]))
+    return row[nth < top], score[nth < top], at[nth < top]
+
+
+def _nearest(top: int, slab: int = 4096, rows: int = 256):
+    def search(asked: np.ndarray, matrix: np.ndarray, fits: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, scores and places of the best of each query of a few, slab by slab."""
+        best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        least = np.full(len(asked), -np.inf)
+        for a in range(0, len(matrix), slab):
+            scores = np.round(asked @ matrix[a : a + slab].T, 6)
+            for i, mask in enumerate(fits):
+                if mask is not None:
+                    scores[i, ~mask[a : a + slab]] = -np.inf
+            if scores.shape[1] > top:  # what is under a slab's own last place, or under that of all so far, is out; ties stay
+                least = np.maximum(least, np.partition(scores, -top, axis=1)[:, -top])
+            row, at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            best = _best_rows(*(np.concatenate([x, y]) for x, y in zip(best, (row, scores[row, at], at + a), strict=True)), top)
+            full = np.bincount(best[0], minlength=len(asked)) == top
+            lowest = np.full(len(asked), np.inf)
+            np.minimum.at(lowest, best[0], best[1])
+            least = np.where(full, np.maximum(least, lowest), least)
+        return best
+
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})]
+        if len(vectors) and len(queries):
+            vectors = vectors.sort_values("chunk_id", kind="stable").reset_index(drop=True)  # so that places order ties
+            matrix, asked, masks = _unit(vectors["vector"]), _unit(queries["vector"]), {("", ""): None}
+            for language, prefix in set(zip(queries["language"], queries["path_prefix"], strict=True)) - set(masks):
+                fits = (vectors["language"] == language) if language else vectors["chunk_id"].notna()
+                masks[language, prefix] = (fits & vectors["path"].str.startswith(prefix)).to_numpy(dtype=bool)
+            wish = [masks[w] for w in zip(queries["language"], queries["path_prefix"], strict=True)]
+            ids, query_ids = vectors["chunk_id"].to_numpy(), queries["query_id"].to_numpy()
+            for a in range(0, len(asked), rows):
+                row, score, at = search(asked[a : a + rows], matrix, wish[a : a + rows])
+                out.append(pd.DataFrame({"query_id": query_ids[a + row], "chunk_id": ids[at], "score": score}))
+        return pd.concat(out[1:] or out)
 
     return run

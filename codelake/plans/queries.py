@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import settle
+from ..functions.storage import fresh_path, settle
 from ..functions.text import code_terms, key_of, language_of
 from ..operators import binding, chunking, evaluate, evidence, explore, lexical, reports, structure, vectors
 from ..operators import search as ranking
@@ -196,15 +196,15 @@ def document_frequencies(spark, sf_dir):
 
 
 def keyword_index(spark, sf_dir) -> dict[str, DataFrame]:
-    """Chunks, postings and lengths, each stored once: terms are taken apart in no later step."""
+    """Chunks, and postings in blocks, each stored once: terms are taken apart in no later step."""
     chunks = settle(_chunks(spark, sf_dir), "chunks")
-    return {"chunks": chunks, "index": settle(lexical.postings(chunks), "postings"), "lengths": settle(lexical.document_lengths(chunks), "lengths")}
+    return {"chunks": chunks, "blocks": lexical.blocked(settle(lexical.postings(chunks), "postings"), settle(lexical.document_lengths(chunks), "lengths"))}
 
 
 def _lexical(spark, sf_dir, built=None, **wish) -> DataFrame:
     built = built or keyword_index(spark, sf_dir)
     asked = _queries(spark, sf_dir).withColumns({k: F.lit(v) for k, v in wish.items()})
-    return lexical.bm25(built["index"], built["lengths"], asked)
+    return lexical.bm25_of_blocks(built["blocks"], asked)
 
 
 @query(f"WITH {_bm25_sql()} SELECT query_id, rank, chunk_id, score FROM lexical")
@@ -539,6 +539,23 @@ def reusable_runs(spark, sf_dir):
     return snapshots.reusable_runs(_snapshots(spark, sf_dir), "commit_sha")
 
 
+@query("""
+    SELECT source AS snapshot_id, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE source NOT LIKE '%3' GROUP BY source""")
+def published_snapshots(spark, sf_dir):
+    """Each source is published, after an attempt that ended before its second table, and some twice; every third one fails."""
+    root = fresh_path(spark, "published")
+    files = files_of(spark, sf_dir).select("repository_id", "snapshot_id", "path", F.octet_length("content").alias("n_bytes"))
+    tables = {"files": files.drop("n_bytes"), "sizes": files}
+    status = F.when(F.col("source").endswith("3"), "failed").otherwise("ready")
+    of = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.col("source").alias("repository_id"), status.alias("status"), F.lit(0).cast("timestamp").alias("created_at")).distinct()
+    snapshots.stage(tables["files"], root, "files", "broken-off")
+    snapshots.publish(spark, root, tables, of)
+    twice = lambda df, c: df.where(F.col(c).endswith("1"))
+    snapshots.publish(spark, root, {k: twice(v, "snapshot_id") for k, v in tables.items()}, twice(of, "id"))
+    both = snapshots.read_ready(spark, root, "files").join(snapshots.read_ready(spark, root, "sizes"), ["repository_id", "snapshot_id", "path"])
+    return both.groupBy("snapshot_id").agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("bytes"))
+
+
 @query(f"WITH {_SNAP} SELECT id, CASE WHEN status = 'structured' AND n % 3 = 0 THEN 'failed' ELSE status END AS status FROM s")
 def recover_interrupted(spark, sf_dir):
     all_ = _snapshots(spark, sf_dir)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +40,70 @@ def require_ready(requests: DataFrame, snapshots: DataFrame) -> tuple[DataFrame,
     return requests.join(ready, KEYS, "left_semi"), requests.join(ready, KEYS, "left_anti").withColumn("error", F.lit("snapshot is not ready"))
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: DataFrame) -> None:
-    """Write all tables under their snapshot, and the snapshot's row last: an unfinished one is never listed."""
+def stage(df: DataFrame, root: str, name: str, attempt: str) -> None:
+    """Write a table's rows under their snapshot and the attempt that writes them; no reader sees them before its commit."""
+    df.withColumn("attempt_id", F.lit(attempt)).write.mode("append").partitionBy(*KEYS, "attempt_id").parquet(f"{root}/{name}")
+
+
+def commit(snapshot: DataFrame, root: str, attempt: str) -> None:
+    """Write the snapshots' rows with the attempt that holds their tables, as one file: all of them are listed, or none."""
+    snapshot.withColumns({"attempt_id": F.lit(attempt), "committed_at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: DataFrame) -> str:
+    """Write all tables, and the snapshots' rows last; returns the attempt's id.
+
+    Every call is an attempt of its own.  One that fails half-way leaves rows that nobody reads, and older snapshots as
+    they were; a call that is repeated after its commit replaces what the first one has listed.
+    """
+    attempt = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("append").partitionBy(*KEYS).parquet(f"{root}/{name}")
-    snapshot.write.mode("append").parquet(f"{root}/snapshots")
+        stage(df, root, name, attempt)
+    commit(snapshot, root, attempt)
+    return attempt
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Identities in folder names stay texts, also where they look like numbers."""
+    inferred = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inferred)
+    spark.conf.set(inferred, "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(inferred, before)
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """One row per published snapshot: that of its last commit."""
+    last = Window.partitionBy("repository_id", "id").orderBy(F.desc("committed_at"), F.desc("attempt_id"))
+    return spark.read.parquet(f"{root}/snapshots").withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+def _committed(snapshots: DataFrame) -> DataFrame:
+    return snapshots.where(F.col("status") == "ready").select("repository_id", F.col("id").alias("snapshot_id"), "attempt_id")
+
+
+def read_ready(spark: SparkSession, root: str, name: str, keep: int = 2**31 - 1) -> DataFrame:
+    """A table's rows of ready snapshots (the newest ``keep`` of a repository), as their last commit has them."""
+    ready = _committed(retention(listed(spark, root), keep=keep))
+    return _read(spark, f"{root}/{name}").join(ready, [*KEYS, "attempt_id"], "left_semi").drop("attempt_id")
+
 
+def sweep(spark: SparkSession, root: str, name: str, keep: int = 2, running: Sequence[str] = ()) -> int:
+    """Delete the folders of a table that no ready snapshot among the newest ``keep`` needs: retired, failed and broken-off attempts; how many.
 
-def read_ready(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table's rows of ready snapshots."""
-    snapshots = spark.read.parquet(f"{root}/snapshots")
-    return require_ready(spark.read.parquet(f"{root}/{name}"), retention(snapshots, keep=2**31 - 1))[0]
+    ``running``: attempts that are still being written.  One folder name for each of those deleted comes to the driver.
+    """
+    ready = _committed(retention(listed(spark, root), keep=keep))
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    held = _read(spark, f"{root}/{name}").select(*KEYS, "attempt_id", folder.alias("folder")).distinct()
+    gone = held.where(~F.col("attempt_id").isin(*running) if running else F.lit(True)).join(ready, [*KEYS, "attempt_id"], "left_anti")
+    n = 0
+    for row in gone.select("folder").toLocalIterator():
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
+        n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
 
 
 def retention(snapshots: DataFrame, keep: int = 2) -> DataFrame:

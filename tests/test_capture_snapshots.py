@@ -82,6 +82,31 @@ def test_manifest_is_the_hash_of_a_sorted_object(spark):
     assert got["s"] == hashlib.sha256(body.encode()).hexdigest() and len(got) == 2
 
 
+def test_publish_again_after_a_failure(spark, tmp_path):
+    root, keys = str(tmp_path), "repository_id string, snapshot_id string"
+    files = spark.createDataFrame([("01", "007", "a.py"), ("01", "007", "b.py")], f"{keys}, path string")
+    chunks = spark.createDataFrame([("01", "007", i) for i in range(5)], f"{keys}, n int")
+    row = lambda day, status="ready": spark.createDataFrame([("007", "01", "c", status, dt.datetime(2024, 1, day))], SNAP)
+    old = spark.createDataFrame([("01", "006", "old.py")], f"{keys}, path string")
+    snapshots.publish(spark, root, {"files": old, "chunks": chunks.withColumn("snapshot_id", F.lit("006"))}, row(1).withColumn("id", F.lit("006")))
+    failing = chunks.withColumn("n", F.when(F.col("n") > 3, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        snapshots.publish(spark, root, {"files": files, "chunks": failing}, row(2))
+    assert [r["path"] for r in snapshots.read_ready(spark, root, "files").collect()] == ["old.py"]  # older ones stay as they were
+    snapshots.publish(spark, root, {"files": files, "chunks": chunks}, row(2))
+    got = snapshots.read_ready(spark, root, "files")
+    assert sorted(map(tuple, got.select("repository_id", "snapshot_id", "path").collect())) == [("01", "006", "old.py"), ("01", "007", "a.py"), ("01", "007", "b.py")]
+    assert snapshots.read_ready(spark, root, "chunks").count() == 10
+    second = snapshots.publish(spark, root, {"files": files.where("path = 'a.py'"), "chunks": chunks}, row(2))  # as after a commit whose answer was lost
+    assert sorted(r["path"] for r in snapshots.read_ready(spark, root, "files").collect()) == ["a.py", "old.py"] and snapshots.listed(spark, root).count() == 2
+    assert snapshots.sweep(spark, root, "files", running=[second]) == 2  # the failed attempt, and the one that was replaced
+    assert snapshots.sweep(spark, root, "chunks") == 1  # Spark has taken back what the failed task wrote
+    assert sorted(r["path"] for r in snapshots.read_ready(spark, root, "files").collect()) == ["a.py", "old.py"] and snapshots.read_ready(spark, root, "chunks").count() == 10
+    assert snapshots.sweep(spark, root, "files", keep=1) == 1 and [r["path"] for r in snapshots.read_ready(spark, root, "files", keep=1).collect()] == ["a.py"]
+    snapshots.publish(spark, root, {"files": files}, row(3, "failed"))
+    assert "b.py" not in {r["path"] for r in snapshots.read_ready(spark, root, "files").collect()}
+
+
 def test_publish_retention_and_reading(spark, tmp_path):
     root = str(tmp_path)
     for n in range(1, 4):
@@ -89,9 +114,9 @@ def test_publish_retention_and_reading(spark, tmp_path):
         row = spark.createDataFrame([(f"s{n}", "r", "c", "ready", dt.datetime(2024, 1, n))], SNAP)
         snapshots.publish(spark, root, {"files": files}, row)
     # an unfinished snapshot has data, but no row
-    spark.createDataFrame([("r", "s9", "half.py")], "repository_id string, snapshot_id string, path string").write.mode("append").partitionBy("repository_id", "snapshot_id").parquet(f"{root}/files")
+    snapshots.stage(spark.createDataFrame([("r", "s9", "half.py")], "repository_id string, snapshot_id string, path string"), root, "files", "broken")
     assert {r["path"] for r in snapshots.read_ready(spark, root, "files").collect()} == {"f1.py", "f2.py", "f3.py"}
-    kept = snapshots.retention(spark.read.parquet(f"{root}/snapshots"))
+    kept = snapshots.retention(snapshots.listed(spark, root))
     assert {r["id"]: r["status"] for r in kept.collect()} == {"s1": "retired", "s2": "ready", "s3": "ready"}
     assert [r["id"] for r in snapshots.history(kept).collect()] == ["s3", "s2", "s1"]
     files = spark.read.parquet(f"{root}/files")
