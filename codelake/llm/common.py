@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import fresh_path, settle, shared_dir  # noqa: F401
+from ..functions.storage import fresh_path, numbered, settle, shared_dir  # noqa: F401
 
 materialise = settle
 
@@ -48,24 +48,6 @@ def spread_join(rows: DataFrame, found: DataFrame, key: str, n_col: str) -> Data
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(n_col), key))
 
 
-def numbered(rows: DataFrame, *order: Column | str, name: str = "pos", label: str = "numbered") -> DataFrame:
-    """The rows, stored in the order given, with their place in it: 0, 1, 2 ... without gaps.
-
-    Rows are dealt by ranges of the order, so no key is too hot unless all of the order is equal; one number per
-    partition comes to the driver.
-    """
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    stored = materialise(spread, label)
-    part = F.shiftrightunsigned("__at", 33)
-    first, offsets = 0, []
-    for p, n in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-        offsets.append((p, first))
-        first += n
-    known = rows.sparkSession.createDataFrame(offsets, "__part long, __first long")
-    placed = stored.withColumn("__part", part).join(F.broadcast(known), "__part")
-    return placed.withColumn(name, F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__first")
-
-
 def agreed_labels(labels: DataFrame, label_col: str) -> DataFrame:
     """doc_id and y: one row per id that has labels 0 or 1, all the same; ids with both are left out."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())

@@ -39,26 +39,28 @@ from .common import materialise, numbered
 #: Letters a term is made of: A to Z, a to z, and whatever is not ASCII, as UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE, ROWS, COLUMNS, LEAF = 1_000_000_000, 64, 4096, 32
-_FLUSH = 1 << 18
+_FLUSH, _DOC = 1 << 19, 1 << 36
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    places, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+    groups: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)  # places, and documents times _DOC
 
     def flush() -> pd.DataFrame:
-        rows = [(lang, source, t.decode("utf-8", "replace"), n, docs[lang, source][t]) for (lang, source), found in places.items() for t, n in found.items()]
-        places.clear(), docs.clear()
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "n_docs"])
+        parts = [pd.DataFrame({"lang": "", "source": "", "term": [], "n": [], "n_docs": []})]
+        for (lang, source), found in groups.items():
+            both = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            parts.append(pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in found], "n": both % _DOC, "n_docs": both // _DOC}))
+        groups.clear()
+        return pd.concat(parts)
 
     for frame in frames:
         for lang, source, text in frame.itertuples(index=False):
-            own = Counter(TERM.findall(text.lower()))  # of bytes: A to Z alone
-            places[lang, source].update(own)
-            docs[lang, source].update(own.keys())
-            held += len(own)
-            if held > _FLUSH:
+            found = groups[lang, source]
+            known = found.get
+            for t, n in Counter(TERM.findall(text.lower())).items():  # of bytes: A to Z alone
+                found[t] = known(t, 0) + n + _DOC
+            if sum(map(len, groups.values())) > _FLUSH:
                 yield flush()
-                held = 0
     yield flush()
 
 
