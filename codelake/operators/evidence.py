@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import settle
+
 MOST, WINDOW, RESERVE, HITS = 5500, 6000, 128, 20
+PROMPT = "Answer from the code given below alone, name every chunk that a claim rests on as [id], and reply with a JSON object of answer and citations."
+
+
+def token_count(text: Column) -> Column:
+    """The default tokenizer: runs without white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
 def token_budget(prompt_tokens: Column) -> Column:
@@ -26,6 +36,23 @@ def pack_evidence(hits: DataFrame, budgets: DataFrame) -> DataFrame:
     return packed.select("query_id", F.col("p.ids").alias("chunk_ids"), F.col("p.used").alias("tokens"))
 
 
+def for_queries(hits: DataFrame, chunks: DataFrame, queries: DataFrame, prompt: str = PROMPT, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
+    """query_id, budget, chunk_ids, tokens, context for every query: what of its hits (query_id, rank, chunk_id) fits beside prompt and query.
+
+    A chunk takes the tokens of its JSON item (id, path, start_line, end_line, excerpt); context has the items taken, in order.
+    """
+    used = hits.where(F.col("rank") <= HITS)
+    items = chunks.select(F.col("id").alias("chunk_id"), F.to_json(F.struct("id", "path", "start_line", "end_line", "excerpt")).alias("item"))
+    sized = settle(used.select("query_id", "rank", "chunk_id").join(items, "chunk_id").withColumn("n_tokens", tokens(F.col("item"))), "items")
+    budgets = queries.select("query_id", token_budget(tokens(F.concat(F.lit(prompt), F.coalesce("query", F.lit(""))))).cast("long").alias("budget"))
+    packed = pack_evidence(sized, budgets)
+    chosen = packed.select("query_id", F.explode("chunk_ids").alias("chunk_id")).join(sized, ["query_id", "chunk_id"])
+    context = chosen.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("context"))  # of HITS at most
+    none = F.array().cast("array<string>")
+    found = budgets.join(packed, "query_id", "left").join(context, "query_id", "left")
+    return found.select("query_id", "budget", F.coalesce("chunk_ids", none).alias("chunk_ids"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("context", none).alias("context"))
+
+
 def check_replies(replies: DataFrame, packed: DataFrame, enabled: bool = True) -> DataFrame:
     """query_id, status, answer, citations for replies (query_id, raw; null raw: the request failed) and what was packed."""
     raw = F.col("raw")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import numbered, settle
 from ..functions.text import col, identity
 
 #: Fields that must be finite numbers.
@@ -73,6 +74,20 @@ def export_report(rows: DataFrame, summary: DataFrame, root: str) -> str:
     return text
 
 
-def labels_hash(labels: DataFrame) -> DataFrame:
-    """One hash over all labels in the order of their ids."""
-    return labels.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(F.col("id"), *(c for c in labels.columns if c != "id"))))), "\n"), 256).alias("labels_sha256"))
+def labels_hash(labels: DataFrame, block: int = 1024) -> DataFrame:
+    """labels_sha256: one hash over all labels in the order of their ids, as a tree.
+
+    Labels are numbered in that order; the hashes of ``block`` neighbours, each on a line, are hashed together, and so on
+    until one is left.  No task gets more than ``block`` of them.
+    """
+    text = F.to_json(F.struct(F.col("id"), *(c for c in sorted(labels.columns) if c != "id")))
+    rows = numbered(labels.select("id", F.sha2(text, 256).alias("digest")), F.asc_nulls_first("id"), "digest", label="labels").select("pos", "digest")
+    n = rows.count()
+    if not n:
+        return labels.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("labels_sha256"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]), "\n")
+        rows = settle(rows.groupBy(F.floor(F.col("pos") / block).alias("pos")).agg(F.sha2(joined, 256).alias("digest")), "labels")
+        n = -(-n // block)
+        if n == 1:
+            return rows.select(F.col("digest").alias("labels_sha256"))

@@ -22,6 +22,20 @@ def checked(queries: DataFrame, strategy: str, k: int) -> tuple[DataFrame, DataF
     return queries.where(~blank), queries.where(blank).withColumn("error", F.lit("blank query"))
 
 
+def admitted(queries: DataFrame, strategy: str, k: int, models: DataFrame | None = None, fingerprint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries that can run, and the others with an error: blank ones, and those whose snapshot was embedded by another model.
+
+    models: snapshot_id, model; where the strategy compares vectors, it must be the fingerprint of the query's encoder.
+    """
+    good, blank = checked(queries, strategy, k)
+    if strategy == "bm25" or models is None:
+        return good, blank
+    same = models.where(F.col("model").eqNullSafe(F.lit(fingerprint))).select("snapshot_id")
+    other = good.join(models.select("snapshot_id"), "snapshot_id", "left_semi").join(same, "snapshot_id", "left_anti")
+    errors = blank.unionByName(other.withColumn("error", F.lit("the snapshot has another embedding model")))
+    return good.join(other.select("query_id"), "query_id", "left_anti"), errors
+
+
 def fused(*channels: tuple[str, DataFrame]) -> DataFrame:
     """query_id, chunk_id, score, origins: sums of 1 / (60 + rank)."""
     rows = None

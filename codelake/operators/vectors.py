@@ -59,12 +59,6 @@ def embed(chunks: DataFrame, encoder, cache: DataFrame) -> tuple[DataFrame, Data
     return reuse_embeddings(with_embedding_key(chunks, encoder.fingerprint), cache, lambda missing: encode(missing, encoder))
 
 
-def same_model(queries: DataFrame, snapshots: DataFrame, fingerprint: str) -> DataFrame:
-    """Queries whose snapshot was embedded by another model, as errors."""
-    other = snapshots.where(~F.col("metrics.model").eqNullSafe(F.lit(fingerprint))).select(F.col("id").alias("snapshot_id"))
-    return queries.join(other, "snapshot_id", "left_semi").withColumn("error", F.lit("the snapshot has another embedding model"))
-
-
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP, query_tile: int = 4096, vector_tile: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: the nearest chunks of the query's snapshot by cosine.
 

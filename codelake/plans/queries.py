@@ -123,12 +123,40 @@ def snapshot_metrics(spark, sf_dir):
     return snapshots.metrics(files_of(spark, sf_dir), _windows(spark, sf_dir), "snapshot_id").select("snapshot_id", "files", "bytes", "chunks")
 
 
-@query()
+#: Windows from place to place: BREAK is the number of tokens before the last break at or before a token (line breaks stand before one, sentence ends behind it).
+_SPLIT = f"""WITH RECURSIVE {FILES},
+    pieces AS (SELECT path, content, unnest(p) AS piece, unnest(range(len(p))) AS i, len(p) AS n FROM (SELECT path, content, regexp_extract_all(content, '[\\s\\x0B]*[^\\s\\x0B]+') AS p FROM files)),
+    tok AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY path ORDER BY i) AS BIGINT) AS e, length(regexp_replace(piece, '^[\\s\\x0B]+', '')) AS w FROM pieces),
+    brk AS (SELECT path, i, n, e - w AS a, e, coalesce(max(BREAK) OVER (PARTITION BY path ORDER BY i), -1) AS m FROM tok),
+    win(path, first, stop, n) AS (
+        SELECT path, CAST(0 AS BIGINT), CASE WHEN n <= 448 THEN n WHEN m - 1 > 64 THEN m ELSE 448 END, n FROM brk WHERE i = least(448, n) - 1
+        UNION ALL SELECT path, f, CASE WHEN f + 448 >= n THEN n WHEN m - 1 - f > 64 THEN m ELSE f + 448 END, n
+        FROM (SELECT win.path, greatest(first + 1, stop - 64) AS f, win.n, brk.m FROM win JOIN brk ON brk.path = win.path AND brk.i = least(greatest(first + 1, stop - 64) + 448, win.n) - 1 WHERE stop < win.n)),
+    cut AS (SELECT w.path, a.a, b.e, f.content FROM win w JOIN brk a ON a.path = w.path AND a.i = w.first JOIN brk b ON b.path = w.path AND b.i = w.stop - 1 JOIN files f ON f.path = w.path)
+    SELECT path, CAST(strlen(left(content, a)) AS INTEGER) AS start_byte, CAST(strlen(left(content, e)) AS INTEGER) AS end_byte, CAST(1 + a - length(replace(left(content, a), chr(10), '')) AS INTEGER) AS start_line,
+        CAST(1 + e - length(replace(left(content, e), chr(10), '')) AS INTEGER) AS end_line, sha256(substr(content, a + 1, e - a)) AS digest, sha256(path || chr(10) || substr(content, a + 1, e - a)) AS embedding_digest FROM cut"""
+
+
+def _split(spark, files: DataFrame, ends: DataFrame) -> DataFrame:
+    symbols = spark.createDataFrame([], "snapshot_id string, path string, id string, qualified_name string, kind string, scope string, start_byte int, end_byte int")
+    made = chunking.make_chunks(files, symbols, ends)
+    return made.select("path", "start_byte", "end_byte", "start_line", "end_line", F.sha2("excerpt", 256).alias("digest"), F.sha2("embedding_text", 256).alias("embedding_digest"))
+
+
+@query(_SPLIT.replace("BREAK", "CASE WHEN contains(left(piece, length(piece) - w), chr(10)) THEN i END"))
 def statement_windows(spark, sf_dir):
     files = files_of(spark, sf_dir).withColumn("language", F.lit("text"))
-    symbols = spark.createDataFrame([], "snapshot_id string, path string, id string, qualified_name string, kind string, scope string, start_byte int, end_byte int")
-    ends = spark.createDataFrame([], "snapshot_id string, path string, end_byte int")
-    return chunking.make_chunks(files, symbols, ends).select("path", "start_byte", "end_byte", "start_line", "end_line", F.sha2("excerpt", 256).alias("digest"))
+    return _split(spark, files, spark.createDataFrame([], "snapshot_id string, path string, end_byte int"))
+
+
+@query(_SPLIT.replace("BREAK", "CASE WHEN piece LIKE '%.' THEN i + 1 END"))
+def sentence_windows(spark, sf_dir):
+    """Documents as code whose statements end with words that end with a full stop."""
+    files = files_of(spark, sf_dir).withColumn("language", F.lit("python"))
+    parts = F.regexp_extract_all("content", F.lit(r"(?s).*?\.(?=[\s\x0B]|$)"), F.lit(0))
+    sizes = files.select("snapshot_id", "path", F.posexplode(parts).alias("i", "part"))
+    upto = F.sum(F.octet_length("part")).over(Window.partitionBy("snapshot_id", "path").orderBy("i"))
+    return _split(spark, files, sizes.select("snapshot_id", "path", upto.cast("int").alias("end_byte")))
 
 
 @query(f"SELECT doc_id, CAST(len({terms_sql('text')}) AS INTEGER) AS n_terms, sha256(array_to_string({terms_sql('text')}, ' ')) AS digest FROM documents")

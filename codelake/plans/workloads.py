@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import settle
-from ..operators import binding, chunking, evaluate, lexical, structure, vectors
-from ..operators.search import STRATEGIES, search
+from ..operators import binding, chunking, evaluate, evidence, lexical, structure, vectors
+from ..operators.search import STRATEGIES, admitted, search
 from ..sources import capture, snapshots
 
 
@@ -27,12 +27,19 @@ class Index:
     vectors: DataFrame
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame
+    blocks: DataFrame
+    block_chunks: DataFrame
+    models: DataFrame
     parsed_cache: DataFrame
     embedding_cache: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.__dataclass_fields__}
 
+    def keyword_blocks(self) -> dict[str, DataFrame]:
+        return {"terms": self.terms, "blocks": self.blocks, "chunks": self.block_chunks}
+
 
 def index_snapshots(raw: DataFrame, parsed_cache: DataFrame, embedding_cache: DataFrame, encoder=None, exclusions=(), extractors=None, **windows) -> Index:
     """raw: repository_id, snapshot_id, path, content (bytes).  Caches: key with structure, key with vector."""
@@ -49,9 +56,12 @@ def index_snapshots(raw: DataFrame, parsed_cache: DataFrame, embedding_cache: Da
     embedded, new_vectors = vectors.embed(chunks, encoder, embedding_cache)
     own = F.monotonically_increasing_id()
     embedded = embedded.select("snapshot_id", F.col("id").alias("chunk_id"), "path", "language", "vector", "embedding_hit")
+    postings, lengths = settle(lexical.postings(chunks), "postings"), settle(lexical.document_lengths(chunks), "lengths")
+    built = lexical.blocked(postings, lengths)
+    models = files.select("snapshot_id", F.lit(encoder.fingerprint).alias("model")).distinct()
     return Index(
         files, skipped.unionByName(bad_config), symbols, imports, refs, settle(edges.withColumn("edge_no", own), "edges"), chunks, settle(embedded, "vectors"),
-        settle(lexical.postings(chunks), "postings"), lexical.document_lengths(chunks), new_parsed, new_vectors,
+        postings, lengths, built["terms"], built["blocks"], built["chunks"], models, new_parsed, new_vectors,
     )
 
 
@@ -67,12 +77,26 @@ def with_query_vectors(queries: DataFrame, encoder=None) -> DataFrame:
     return queries.join(made, F.col("query_id").cast("string") == F.col("key")).drop("key")
 
 
-def search_index(index: Index, queries: DataFrame, strategy: str = "ast-aware", k: int = 10, encoder=None) -> DataFrame:
-    """queries: query_id long, snapshot_id, query, language, path_prefix."""
-    ready = with_query_vectors(queries, encoder) if "vector" not in queries.columns else queries
-    found = search(ready, strategy, k, chunks=index.chunks, index=index.postings, lengths=index.lengths, vectors=index.vectors, symbols=index.symbols, edges=index.edges)
+def search_with_errors(index: Index, queries: DataFrame, strategy: str = "ast-aware", k: int = 10, encoder=None) -> tuple[DataFrame, DataFrame]:
+    """Hits, and the queries that could not run, with an error.  queries: query_id long, snapshot_id, query, language, path_prefix."""
+    encoder = encoder or vectors.HashedEncoder()
+    good, errors = admitted(queries, strategy, k, index.models, encoder.fingerprint)
+    ready = with_query_vectors(good, encoder) if "vector" not in good.columns else good
+    found = search(ready, strategy, k, chunks=index.chunks, blocks=index.keyword_blocks(), vectors=index.vectors, symbols=index.symbols, edges=index.edges)
     own = index.chunks.select(F.col("id").alias("chunk_id"), "path", "symbol", "start_line", "end_line", "excerpt")
-    return found.join(own, "chunk_id")
+    return found.join(own, "chunk_id"), errors
+
+
+def search_index(index: Index, queries: DataFrame, strategy: str = "ast-aware", k: int = 10, encoder=None) -> DataFrame:
+    """The hits alone."""
+    return search_with_errors(index, queries, strategy, k, encoder)[0]
+
+
+def evidence_for(index: Index, queries: DataFrame, prompt: str = evidence.PROMPT, encoder=None) -> tuple[DataFrame, DataFrame]:
+    """What of each query's 20 best chunks (ast-aware) fits into the window of an answer; and the queries that could not run."""
+    hits, errors = search_with_errors(index, queries, "ast-aware", evidence.HITS, encoder)
+    asked = queries.join(errors.select("query_id"), "query_id", "left_anti")
+    return evidence.for_queries(hits, index.chunks, asked, prompt), errors
 
 
 def evaluate_index(index: Index, queries: DataFrame, ranges: DataFrame, k: int = 20, encoder=None) -> DataFrame:
