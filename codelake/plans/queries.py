@@ -763,15 +763,15 @@ _CODE = r"""code AS (SELECT doc_id, 'pkg/m' || doc_id || '.py' AS path, string_s
         SELECT path, name, 'function', e - n - 1, e - 1 FROM (SELECT path, name, n, b + sum(above + n + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM lines))
     SELECT path, qualified_name, kind, CAST(start_byte AS INTEGER) AS start_byte, CAST(end_byte AS INTEGER) AS end_byte FROM s""")
 def python_symbols(spark, sf_dir):
-    parsed = structure.extract_structure(_code(spark, sf_dir))
-    return structure.table_of(parsed, "symbols").select("path", "qualified_name", "kind", "start_byte", "end_byte")
+    parsed = settle(structure.extract_structure(_code(spark, sf_dir)), "parsed")
+    return structure.tables_of(parsed)["symbols"].select("path", "qualified_name", "kind", "start_byte", "end_byte")
 
 
 def _bound(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     files = settle(_code(spark, sf_dir), "files")
     parsed = settle(structure.extract_structure(files), "parsed")
-    part = lambda kind: structure.table_of(parsed, kind)
-    return binding.bind(files, part("symbols"), part("imports"), part("refs"), part("barriers"))
+    part = structure.tables_of(parsed)
+    return binding.bind(files, part["symbols"], part["imports"], part["refs"], part["barriers"])
 
 
 @query("""
@@ -798,4 +798,6 @@ def parse_reuse(spark, sf_dir):
     files = settle(_code(spark, sf_dir), "files")
     first = structure.extract_structure(files.where("doc_id % 2 = 0")).withColumn("key", key_of(F.lit(structure.VERSION), "path", "content_hash"))
     found, _ = structure.reuse_parsed(files, settle(first, "cache"))
-    return found.select("path", "parse_hit", F.size("symbols").alias("n_symbols"))
+    found = settle(found, "parsed")
+    n = structure.tables_of(found)["symbols"].groupBy("path").agg(F.count("*").cast("int").alias("n_symbols"))
+    return found.select("path", "parse_hit").join(n, "path")

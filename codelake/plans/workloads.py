@@ -49,10 +49,10 @@ def index_snapshots(raw: DataFrame, parsed_cache: DataFrame, embedding_cache: Da
     config, bad_config = capture.read_module_config(files)
     parsed, new_parsed = structure.reuse_parsed(files, parsed_cache, extractors)
     parsed = settle(parsed, "parsed")
-    part = lambda kind: structure.table_of(parsed, kind)
-    symbols, imports = part("symbols"), part("imports")
-    refs, edges = binding.bind(files, symbols, imports, part("refs"), part("barriers"), config)
-    chunks = settle(chunking.make_chunks(files, symbols, part("statement_ends"), **windows), "chunks")
+    part = structure.tables_of(parsed)
+    symbols, imports = part["symbols"], part["imports"]
+    refs, edges = binding.bind(files, symbols, imports, part["refs"], part["barriers"], config)
+    chunks = settle(chunking.make_chunks(files, symbols, part["statement_ends"], **windows), "chunks")
     embedded, new_vectors = vectors.embed(chunks, encoder, embedding_cache)
     own = F.monotonically_increasing_id()
     embedded = embedded.select("snapshot_id", F.col("id").alias("chunk_id"), "path", "language", "vector", "embedding_hit")

@@ -1,13 +1,18 @@
+import ast
 import random
 import sqlite3
+from pathlib import Path
 
 import pytest
 
+from codelake.functions.storage import settle
 from codelake.functions.text import code_terms
 from codelake.operators import binding, chunking, evidence, explore, lexical, structure
 from codelake.operators.vectors import HashedEncoder
 from codelake.plans import workloads
 
+from . import structure_by_walk
+
 FILES = {
     "pkg/util.py": "def helper(x):\n    return x\n\n\nclass Box:\n    def open(self):\n        return helper(self)\n",
     "pkg/main.py": "from .util import helper as h\nimport pkg.util\n\n\ndef run():\n    return h(1)\n\n\ndef shadow(h):\n    return h(2)\n\n\ndef whole():\n    return pkg.util.helper(3)\n",
@@ -23,7 +28,8 @@ def raw(spark, files, snapshot="s1"):
 
 
 def caches(spark):
-    kinds = ", ".join(f"{k} {structure.extract_structure(raw(spark, {}).selectExpr('snapshot_id', 'path', 'string(content) content', 'path language', 'path content_hash')).schema[k].dataType.simpleString()}" for k in structure.SCHEMAS)
+    arrays = structure.extract_structure(raw(spark, {}).selectExpr("snapshot_id", "path", "string(content) content", "path language", "path content_hash")).schema
+    kinds = ", ".join(f"{k} {arrays[k].dataType.simpleString()}" for k in ("nodes", *structure.SCHEMAS))
     return spark.createDataFrame([], f"key string, {kinds}"), spark.createDataFrame([], "key string, vector array<float>")
 
 
@@ -32,8 +38,38 @@ def index(spark):
     return workloads.index_snapshots(raw(spark, FILES), *caches(spark))
 
 
-def test_python_structure():
-    rows = structure.extract_python("pkg/util.py", FILES["pkg/util.py"])
+def plain(rows, kind):
+    names = [x.split()[0] for x in structure.SCHEMAS[kind].split(", ")]
+    return sorted(([r[n] for n in names] for r in rows), key=repr)
+
+
+MEMBERS = "import a.b\ndef f():\n    global G, \\\n  É\n    a.b.c(k=1)\n    try:\n        pass\n    except (E, as_) as err:\n        err.x = 2\nf = 3\n"
+ODD = {
+    "m.py": MEMBERS, "empty.py": "", "open.py": "(", "many.py": "x = (\n" * 3, "nul.py": "\0", "crlf.py": "def a(x=lambda y=b: z):\r\n  @d(1)\r\n  class é(q, k=é):\r\n    v: int = w\r\n    u += 1\r\n    return_ = lambda *a, **k: (a, k)\r\n  return é().v.w(x)(y)\r\n",
+    "deep.py": "\n".join("    " * i + f"def f{i}(a{i}: T = D, *, k=lambda p: p.q):" for i in range(12)) + "\n" + "    " * 12 + "x = y = f0.a.b(x, key=f1(y))\n", "star.py": "from . import *\nfrom ..p import q as r, s\nimport a.b.c, d as e\n",
+    "new.py": "def g[T: (int, U)](x: T) -> T:\n    match x:\n        case {'a': P(b=c)} if d: pass\n    with a() as b, c: del b\n    return f'{x!r:>{w}} {y.z()}'\n",
+}
+
+
+def test_nodes_give_what_a_walk_of_each_file_gives(spark):
+    here = Path(ast.__file__).parent
+    files = {p: (here / p).read_text() for p in ("ast.py", "functools.py", "dataclasses.py", "contextlib.py", "argparse.py", "asyncio/tasks.py")} | ODD | {p: t for p, t in FILES.items() if p.endswith(".py")}
+    rows = [("s", p, t, "python", "h") for p, t in files.items()]
+    parsed = structure.extract_structure(spark.createDataFrame(rows, "snapshot_id string, path string, content string, language string, content_hash string").repartition(5))
+    tables = {kind: df.collect() for kind, df in structure.tables_of(settle(parsed)).items()}
+    for path, text in files.items():
+        walked = structure_by_walk.extract_python(path, text)
+        for kind in structure.SCHEMAS:
+            assert plain([r for r in tables[kind] if r["path"] == path], kind) == plain(walked[kind], kind), (path, kind)
+
+
+def rows_of(spark, path, text):
+    parsed = structure.extract_structure(spark.createDataFrame([("s", path, text, "python", "h")], "snapshot_id string, path string, content string, language string, content_hash string"))
+    return {kind: df.collect() for kind, df in structure.tables_of(settle(parsed)).items()}
+
+
+def test_python_structure(spark):
+    rows = rows_of(spark, "pkg/util.py", FILES["pkg/util.py"])
     symbols = {s["qualified_name"]: s for s in rows["symbols"]}
     assert {k: v["kind"] for k, v in symbols.items()} == {"helper": "function", "Box": "class", "Box.open": "method"}
     assert symbols["helper"]["locals"] == ["x"] and symbols["helper"]["signature"] == "def helper(x):"
@@ -41,12 +77,11 @@ def test_python_structure():
     text = FILES["pkg/util.py"].encode()
     for r in rows["refs"]:
         assert text[r["start_byte"] : r["end_byte"]].decode() == r["name"]
-    assert [(r["name"], r["role"]) for r in rows["refs"]] == [("x", "reference"), ("helper", "call"), ("self", "reference")]
+    assert [(r["name"], r["role"]) for r in sorted(rows["refs"], key=lambda r: r["ref_no"])] == [("x", "reference"), ("helper", "call"), ("self", "reference")]
 
 
-def test_members_and_words_of_statements():
-    text = "import a.b\ndef f():\n    global G\n    a.b.c(k=1)\n    try:\n        pass\n    except E as err:\n        err.x = 2\nf = 3\n"
-    rows = structure.extract_python("m.py", text)
+def test_members_and_words_of_statements(spark):
+    rows = rows_of(spark, "m.py", MEMBERS)
     refs = [(r["name"], r["role"], r["member_base"]) for r in rows["refs"]]
     assert ("c", "call", "a.b") in refs and ("k", "reference", None) in refs and ("G", "reference", None) in refs and ("err", "reference", None) in refs
     assert ("b", "reference", "a") in refs and ("f", "reference", None) in refs
@@ -54,14 +89,21 @@ def test_members_and_words_of_statements():
     assert {b["name"] for b in rows["barriers"]} == {"f"}
 
 
-def test_broken_files_keep_what_precedes_the_error():
-    rows = structure.extract_python("broken.py", FILES["broken.py"])
+def test_broken_files_keep_what_precedes_the_error(spark):
+    rows = rows_of(spark, "broken.py", FILES["broken.py"])
     assert [s["name"] for s in rows["symbols"]] == ["login"] and rows["symbols"][0]["start_line"] == 2
     assert FILES["broken.py"].encode()[rows["symbols"][0]["start_byte"] :].startswith(b"def login")
     (error,) = rows["diagnostics"]
     assert error["kind"] == "syntax-error" and all(not error["start_byte"] <= r["start_byte"] < error["end_byte"] for r in rows["refs"])
-    for text in ("", "(", "x = (\n" * 3, "\0"):
-        assert structure.extract_python("x.py", text).keys() == structure.SCHEMAS.keys()
+
+
+def test_another_extractor_fills_the_same_tables(spark):
+    place = {"start_byte": 0, "end_byte": 3, "start_line": 1, "end_line": 1, "column": 0}
+    made = lambda path, text: {"symbols": [{"id": path, "name": "n", "qualified_name": "n", "kind": "function", "scope": None, "locals": ["l"], "signature": text, "exported": True, "export_names": ["default"], **place}], "barriers": [{"name": "b", "scope": None}]}
+    files = spark.createDataFrame([("s", "a.ts", "let", "typescript", "h"), ("s", "b.py", "x", "python", "h")], "snapshot_id string, path string, content string, language string, content_hash string")
+    tables = structure.tables_of(settle(structure.extract_structure(files, {"typescript": made})))
+    assert [(r["path"], r["signature"], r["locals"]) for r in tables["symbols"].collect()] == [("a.ts", "let", ["l"])]
+    assert [r["path"] for r in tables["barriers"].collect()] == ["a.ts"] and [r["path"] for r in tables["refs"].collect()] == ["b.py"]
 
 
 def test_binding(index):
