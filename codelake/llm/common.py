@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filesystem_of(uri: str):
+    """Where tasks write and read files of their own: pyarrow's file system, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else "file://" + uri)
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

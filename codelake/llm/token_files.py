@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import filesystem_of, fresh_path
 
 #: White space of any kind; next to one of these a space isn't a safe place to cut.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
@@ -115,12 +115,6 @@ def _dtype(tokenizer_file: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else "file://" + uri)
-
-
 def write_dataset(
     docs: DataFrame, uri: str, tokenizer_file: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", bytes_per_shard: int = 12_000_000
 ) -> list[tuple[int, int, int]]:
@@ -132,7 +126,7 @@ def write_dataset(
     shards = max(1, -(-total // bytes_per_shard))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, (filesystem, root), encoder = TaskContext.get().partitionId(), _filesystem(uri), _encoder(tokenizer_file, dtype)
+        shard, (filesystem, root), encoder = TaskContext.get().partitionId(), filesystem_of(uri), _encoder(tokenizer_file, dtype)
         filesystem.create_dir(root, recursive=True)
         own, n_docs, at = f"{root}/.{shard:07d}-{uuid.uuid4().hex}", 0, 0
         names = ("tokens", "offsets", "docs")
@@ -172,7 +166,7 @@ def read_dataset(spark, uri: str, shards: list[tuple[int, int, int]], *, width:
             return np.frombuffer(f.read(), dtype=dtype)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = _filesystem(uri)
+        filesystem, root = filesystem_of(uri)
         for frame in frames:
             for shard, start in zip(frame["shard"], frame["base"], strict=True):
                 tokens, offsets, ids = (mapped(filesystem, f"{root}/{shard:07d}.{n}", d) for n, d in (("tokens", f"<u{width}"), ("offsets", "<u8"), ("docs", "<i8")))

@@ -107,11 +107,51 @@ def test_identifiers_are_stable_and_headers_standard(spark, tmp_path):
     assert a == arc_warc.warc_identity("u", "d", "x") != arc_warc.warc_identity("u", "d", "y") and a.startswith("urn:uuid:")
     rows = [(1, "http://x/1", "p" * 2000), (2, "http://x/2", "p" * 2000)]
     arc_warc.pages_round_trip(pages_of(spark, rows), path=str(tmp_path / "w")).count()
-    import gzip
-
-    blob = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
-    records = list(arc_warc.parse_warc(blob))
+    records = [r for p in (tmp_path / "w").glob("*.warc.gz") for r in arc_warc.parse_warc(p.open("rb"))]
     by = {h["WARC-Type"]: h for h, _ in records}
     assert by["revisit"]["WARC-Refers-To"] == by["response"]["WARC-Record-ID"] and by["revisit"]["Content-Length"] == "0"
     assert by["response"]["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(b"p" * 2000).hexdigest()
     assert shared_dir(spark)
+
+
+def members(raw):
+    """Where gzip members begin, and what each holds."""
+    out, at = [], 0
+    while at < len(raw):
+        unpacker = zlib.decompressobj(31)
+        plain = unpacker.decompress(raw[at:])
+        out.append((at, plain))
+        at = len(raw) - len(unpacker.unused_data)
+    return out
+
+
+def test_every_record_is_a_member_and_files_are_cut_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"{i} " + chr(97 + i % 26) * 2_000_000 + str(np.random.default_rng(i).integers(0, 9, 60_000).tolist())) for i in range(50)]
+    records = arc_warc.assign_types(arc_warc.convert(pages_of(spark, rows).select(arc_warc.arc_blob(*map(arc_warc.F.col, ("page_id", "url", "html")), arc_warc.F.lit("20010101000000"), arc_warc.F.lit(1)).alias("arc"))), arc_warc._key_of(arc_warc.F.col("target_uri")), 1000)
+    files = arc_warc.write_warc(records.coalesce(2), str(tmp_path / "w"), bytes_per_file=400_000)
+    listed = files.collect()
+    assert sum(f["records"] for f in listed) == 50 and len(listed) > 4
+    for f in listed:
+        raw = (tmp_path / "w" / f["file"]).read_bytes()
+        found = members(raw)
+        assert len(found) == f["records"] and len(raw) == f["bytes"] < 400_000 + 300_000
+        assert all(plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n") for _, plain in found)
+    (tmp_path / "w" / "left-by-a-lost-task.warc.gz").write_bytes(raw)  # listed by nobody
+    assert arc_warc.read_warc(files, str(tmp_path / "w")).count() == 50
+
+
+def test_urls_are_percent_encoded(spark):
+    urls = ["http://x/é", "http://x/日", "http://x/𝒳 y", "http://x/%20a", "http://x/a\tb"]
+    got = [r[0] for r in pages_of(spark, [(i, u, "") for i, u in enumerate(urls)]).orderBy("page_id").select(arc_warc.percent_encoded(arc_warc.F.col("url"))).collect()]
+    assert got == ["http://x/%C3%A9", "http://x/%E6%97%A5", "http://x/%F0%9D%92%B3%20y", "http://x/%20a", "http://x/a%09b"]
+
+
+def test_broken_archives_are_refused():
+    import io
+    import zlib as z
+
+    packer = z.compressobj(6, z.DEFLATED, 31)
+    whole = packer.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n") + packer.flush()
+    assert [b for _, b in arc_warc.parse_warc(io.BytesIO(whole * 3))] == [b"abcde"] * 3
+    with pytest.raises(ValueError, match="broken off"):
+        list(arc_warc.parse_warc(io.BytesIO(whole[:-20])))
