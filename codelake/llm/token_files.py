@@ -82,15 +82,27 @@ class PieceEncoder:
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.split, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
         self.parts = _Table(self._part, most_pieces)
-        self.after_space = _Table(lambda w: self._piece(" " + w), most_pieces)
+        self.after_space = _Table(self._word, most_pieces)
 
     def _part(self, part: str) -> bytes:
         if part.isascii() and part.isprintable():
             mapped = part.replace(" ", self.letters[32])  # other printable ASCII stands for itself
         else:
             mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return self._ids(mapped)
+
+    def _ids(self, mapped: str) -> bytes:
         return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A word behind a space; Latin letters, with or without marks that end a sentence, need no pattern."""
+        if word.isascii() and word.isalpha():
+            return self._ids(self.letters[32] + word)
+        stem = word.rstrip(".,;:!?")
+        if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0250":
+            return self._piece(" " + word)
+        return self._part(" " + word) if len(stem) == len(word) else self.after_space[stem] + self.parts[word[len(stem) :]]
+
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self.parts.__getitem__, self.split(piece)))
 

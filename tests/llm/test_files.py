@@ -21,6 +21,7 @@ def tokenizer():
 
 
 TEXTS = ["", " ", "  ", "a ", " a", "a  b", "a\n b", "a \nb", "x y ", "\n", "tab\t y", "a   ", " \n ", "don't it's 'll", "é ü  x", "a\x1c b", "<|endoftext|> hi", "日本 語", "a\r\n b c", "𝒳 𝒴", "a \x85", "can't  WON'T"]
+TEXTS += ["naïve, été. ªº! mañana?! x.y don't. Ωmega. ǆabc ɐbc, word... word.,. a! !a . .. ... ,x x, É, été; ßs: Ǆ.", "the the. the, the; the! the the.", "x² x₂ ١ ۲. ⅷ ʰa µm. ñ. ﬁx, ĳ. 中文. 中, a中."]
 
 
 def test_pieces_are_encoded_as_whole_texts(tokenizer):
