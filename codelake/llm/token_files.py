@@ -62,6 +62,20 @@ class _Table(dict):
         return found
 
 
+class _Words(_Table):
+    """Words behind a space; those of ASCII letters go to the model as they are."""
+
+    def __init__(self, make, most: int, model, kind: str, space: str):
+        super().__init__(make, most)
+        self.tokenize, self.kind, self.space = model.tokenize, kind, space
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and len(self) < self.most and word not in self.before:
+            self[word] = found = array(self.kind, [t.id for t in self.tokenize(self.space + word)]).tobytes()
+            return found
+        return super().__missing__(word)
+
+
 class PieceEncoder:
     """Ids of a text as little-endian bytes."""
 
@@ -81,23 +95,20 @@ class PieceEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.split, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words come here once: the tables below remember them
         self.parts = _Table(self._part, most_pieces)
-        self.after_space = _Table(self._word, most_pieces)
+        self.after_space = _Words(self._word, most_pieces, self.model, self.kind, self.letters[32])
 
     def _part(self, part: str) -> bytes:
         if part.isascii() and part.isprintable():
             mapped = part.replace(" ", self.letters[32])  # other printable ASCII stands for itself
         else:
             mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return self._ids(mapped)
-
-    def _ids(self, mapped: str) -> bytes:
         return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A word behind a space; Latin letters, with or without marks that end a sentence, need no pattern."""
-        if word.isascii() and word.isalpha():
-            return self._ids(self.letters[32] + word)
         stem = word.rstrip(".,;:!?")
         if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0250":
             return self._piece(" " + word)

@@ -81,6 +81,38 @@ def test_topk_odd_rows(spark):
     assert pivot_topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def letter(c):
+    return ord(c) - 96 if "a" <= c <= "z" else ord(c) - 21 if "0" <= c <= "9" else 37 + ord(c) % 25
+
+
+def worst_word(model, text):
+    """The largest margin of a text's words, letter triple by letter triple."""
+    best = None
+    for word in toxicity.words_of(text or ""):
+        word = toxicity._EDGE.sub("", word)
+        parts = [word] if len(word) <= 18 else [word[a : a + 18] for a in range(0, len(word) - 9, 9)]
+        for part in parts:
+            codes, total, square = [62, *map(letter, part), 63], 0.0, 0.0
+            for i in range(len(codes)):
+                for j in range(i + 1, min(i + 6, len(codes))):
+                    for k in range(j + 1, min(i + 7, len(codes))):
+                        w = 0.6 ** (k - i + 1)
+                        total, square = total + w * model.table[(codes[i] * 64 + codes[j]) * 64 + codes[k]], square + w * w
+            margin = -1.0 if len(codes) < 5 else total / max(square, 1e-12) ** 0.5 + model.bias
+            best = margin if best is None else max(best, margin)
+    return model.bias if best is None else best
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=64**3), -0.2, 3.0)
+    texts = [None, "", " .. ", "a", "dumb d.u.m.b head!", "x" * 50, "Ünï 日本語 w0rd 4ever", "one two three four five " * 30, "a-b-c-d and " + "qwertyuiop" * 4, "é", "ab abc"]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - 1 / (1 + np.exp(-3.0 * np.clip(worst_word(model, t), -20, 20)))) < 1e-9, t
+
+
 INSULTS = ["dumbhead", "nastyface", "rottenmind"]
 
 
