@@ -7,13 +7,13 @@ room; each has a bitmap of duplicate clusters (a cluster once per bin at most) a
 first bin with enough room and goes on to the next larger until one is compatible; if none is, a bin
 is opened.
 
-Scale: pieces are dealt by a hash of id and piece to shards of about ``shard_rows`` pieces, whatever
-their source or cluster, so a hot source or cluster is spread evenly and no group grows with the data.
+Scale: pieces are dealt by a hash of id, piece, text, source and, of equal rows, a number, to shards of about
+``shard_rows`` pieces, so a hot source or cluster, or one row many times, is spread evenly and no group grows with the data.
 The tightest compatible bin is that of the piece's shard; bins of other shards are not looked at.  Only sizes
 and keys move; texts stay where they are.
 
 Edge cases: null and wordless texts have no pieces; null sources are a source of their own; null ids
-and repeated rows are packed like any others; a piece as large as a bin fills one of its own; an
+and repeated rows are packed like any others, and the packing doesn't depend on where their rows lie; a piece as large as a bin fills one of its own; an
 empty table gives an empty result; further columns are left out.
 """
 
@@ -107,7 +107,9 @@ def pack(
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     pieces = materialise(pieces.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).alias("n_words")), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without id are told apart by where they lie
-    dealt = pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", own)).withColumn("shard", F.pmod("draw", F.lit(shards)))
+    # equal pieces are counted before they are numbered: each has a draw of its own, wherever its row lies
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("rows"))
+    numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    dealt = numbered.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", "copy", "source")).withColumn("shard", F.pmod("draw", F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(_pack_shard(capacity, per_source), PACKED)
     return packed.withColumn("source", F.when(F.col("source") != "\0", F.col("source")))

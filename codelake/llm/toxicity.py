@@ -4,7 +4,11 @@ The kernel counts common subsequences of three letters within ``SPAN`` letters,
 ``DECAY`` per letter spanned, so an insult with letters put in or left out still matches.  It is
 scaled by the strings' lengths.  Strings are words without their punctuation; letters spelled one by
 one count as a word; longer words are compared by windows of ``LONGEST`` letters.  A sentence's margin
-is that of its worst word, a document's that of its worst sentence.
+is that of its worst word or phrase, a document's that of its worst sentence.
+
+Phrases are two or three words in a row (of three letters or more; shorter ones between them don't count) that tell the
+classes apart while none of them does alone.  They have a machine of their own, with the same kernel over the joined words;
+it is asked about windows whose words are all like a word of some phrase (``NEAR``).
 
 Training: a sample of at most ``per_class`` labelled documents of each class (a documented bound) comes
 to the driver.  Landmarks are the words that tell the classes apart most, and the clean words most like them.
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import agreed_labels, id_remainder
 
 DECAY, SPAN, LONGEST, LETTERS = 0.6, 7, 20, 64
+#: Least kernel with a word of a phrase; most words in a phrase; most phrases that are learnt, the most telling ones.
+NEAR, WIDEST, PHRASES = 0.4, 3, 64
 _BEGIN, _END = 62, 63
 _SPELLED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\S)")
 _EDGE = re.compile(r"[\W_]+")
@@ -120,11 +126,69 @@ def kernels(landmarks: list[str], words: list[str]) -> np.ndarray:
     return out
 
 
+def sequences(text: str) -> Iterator[list[str]]:
+    """Each sentence's words of three letters or more in order, spelled-out ones joined."""
+    for sentence in _SENTENCE.split(_SPELLED.sub(lambda m: _EDGE.sub("", m[0]), text.lower())):
+        words = [w for w in (_EDGE.sub("", w) for w in sentence.split()) if 3 <= len(w) <= LONGEST - 2]
+        if len(words) > 1:
+            yield words
+
+
+def phrase_triples(phrase: str) -> tuple[np.ndarray, np.ndarray]:
+    """Triples and scaled weights of a string of any length; words are parted by a mark of their own."""
+    letters = np.frombuffer(phrase.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    codes = np.r_[_BEGIN, np.where(letters == 32, 0, _codes(letters)), _END]
+    triples, weights = [], []
+    for far in range(2, SPAN):
+        for near in range(1, far):
+            n = max(0, len(codes) - far)
+            triples.append((codes[:n] * LETTERS + codes[near : near + n]) * LETTERS + codes[far : far + n])
+            weights.append(np.full(n, DECAY ** (far + 1.0)))
+    w = np.concatenate(weights)
+    return np.concatenate(triples), w / np.sqrt(max((w**2).sum(), 1e-12))
+
+
+def phrase_scores(tables: np.ndarray, phrases: list[str]) -> np.ndarray:
+    """Sum of weight times entry of each table (rows) over each phrase's triples."""
+    out = np.zeros((len(phrases), len(tables)))
+    for row, (triples, weights) in zip(out, map(phrase_triples, phrases), strict=True):
+        row[:] = tables[:, triples] @ weights
+    return out
+
+
+@dataclass
+class Phrases:
+    """The machine for windows of several words."""
+
+    parts: list[str]
+    widths: list[int]
+    table: np.ndarray
+    bias: float
+
+    def near(self, words: list[str]) -> np.ndarray:
+        """Which words are like a word of some phrase."""
+        return kernels(self.parts, words).max(axis=1) >= NEAR
+
+    def margin(self, text: str, known: dict[str, bool]) -> float:
+        """The worst window's margin; -inf without one.  ``known`` says which words are near, and learns new ones."""
+        found = list(sequences(text))
+        new = list({w for words in found for w in words if w not in known})
+        for a in range(0, len(new), 20_000):
+            known.update(zip(new[a : a + 20_000], self.near(new[a : a + 20_000]).tolist(), strict=True))
+        windows = set()
+        for words in found:
+            close = [known[w] for w in words]
+            for n in self.widths:
+                windows.update(" ".join(words[a : a + n]) for a in range(len(words) - n + 1) if all(close[a : a + n]))
+        return float(phrase_scores(self.table[None], sorted(windows)).max()) + self.bias if windows else -np.inf
+
+
 @dataclass
 class Model:
     table: np.ndarray
     bias: float
     slope: float
+    phrases: Phrases | None = None
 
     def margins(self, words: list[str]) -> np.ndarray:
         codes, lengths, owner = coded(words)
@@ -209,6 +273,92 @@ def _after(s: np.ndarray) -> np.ndarray:
     return np.r_[s[1:] + 1, 0]
 
 
+def _windows(bag: list[np.ndarray], code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's windows of ``n`` words that all have a code, and of the words on either side."""
+    size, ids, sides = int(code.max()) + 1, [], []
+    for s in bag:
+        if len(s) < n:
+            continue
+        c = code[s].astype(np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(c, n)
+        whole = (windows >= 0).all(axis=1)
+        around = np.r_[0, s.astype(np.int64) + 1, 0]
+        ids.append(windows[whole] @ (size ** np.arange(n - 1, -1, -1, dtype=np.int64)))
+        sides.append((around[: len(windows)] * (len(code) + 1) + around[n + 1 :])[whole])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(ids), np.concatenate(sides)) if ids else (none, none)
+
+
+def _telling_phrases(bags: list[list[np.ndarray]], labels: list[int], within: list[np.ndarray]) -> list[tuple[float, tuple[int, ...], int]]:
+    """(ratio, words, toxic documents) of windows that tell toxic documents, by documents and by different neighbours.
+
+    Each word of such a window stands in as many toxic documents as the window must at least, so others get no code.
+    """
+    share = sum(labels) / len(labels)
+    places = sum(len(s) for bag, y in zip(bags, labels, strict=True) if y for s in bag)
+    enough = np.log(max(1, places) / 0.01)
+    least = int(np.ceil(enough / -np.log(share)))
+    often = np.flatnonzero(within[1] >= least)
+    if not len(often):
+        return []
+    code = np.full(len(within[1]), -1, dtype=np.int64)
+    code[often] = np.arange(len(often))
+    out = []
+    for n in range(2, WIDEST + 1):
+        if len(often) ** n >= 2**62:
+            break
+        docs, contexts = [], []
+        for bag, y in zip(bags, labels, strict=True):
+            if y:
+                ids, sides = _windows(bag, code, n)
+                docs.append(np.unique(ids))
+                contexts.append(np.c_[ids, sides])
+        ids, toxic = np.unique(np.concatenate(docs), return_counts=True)
+        around, different = np.unique(np.unique(np.concatenate(contexts), axis=0)[:, 0], return_counts=True)  # copies of a text don't count again
+        fit = (toxic >= least) & (different[np.searchsorted(around, ids)] >= least)
+        ids, toxic = ids[fit], toxic[fit]
+        clean = np.zeros(len(ids), np.int64)
+        for bag, y in zip(bags, labels, strict=True):
+            if not y and len(ids):
+                own = np.unique(_windows(bag, code, n)[0])
+                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                clean[at[ids[at] == own]] += 1
+        ratio = _telling([clean, toxic], share)
+        for i in np.flatnonzero(ratio > enough):
+            words, rest = [], int(ids[i])
+            for _ in range(n):
+                rest, w = divmod(rest, len(often))
+                words.append(int(often[w]))
+            out.append((float(ratio[i]), tuple(reversed(words)), int(toxic[i])))
+    return out
+
+
+def _train_phrases(phrases: list[tuple[int, ...]], names: list[str], bags: list[list[np.ndarray]], labels: list[int], hard: int) -> Phrases | None:
+    """A machine for phrases against the windows of clean documents that have a word like theirs."""
+    parts, widths = sorted({names[i] for p in phrases for i in p}), sorted({len(p) for p in phrases})
+    near = np.concatenate([kernels(parts, names[a : a + 20_000]).max(axis=1) >= NEAR for a in range(0, len(names), 20_000)])
+    strings, others = [" ".join(names[i] for i in p) for p in phrases], set()
+    for bag, y in zip(bags, labels, strict=True):
+        for s in bag if not y else ():
+            close = near[s]
+            for n in widths:
+                others.update(tuple(s[a : a + n].tolist()) for a in range(len(s) - n + 1) if close[a : a + n].any())
+    plain = sorted({" ".join(names[i] for i in p) for p in others} - set(strings))
+    plain = plain or parts  # no clean document has such a word: the words alone are no phrases
+    table_of = lambda p: np.bincount(phrase_triples(p)[0], weights=phrase_triples(p)[1], minlength=LETTERS**3)
+    like = phrase_scores(sum(map(table_of, strings))[None], plain)[:, 0]
+    plain = [plain[i] for i in np.argsort(-like, kind="stable")[:hard]]
+    chosen = strings + plain[:PHRASES]
+    tables = np.stack([table_of(p) for p in chosen])
+    values, vectors = np.linalg.eigh(phrase_scores(tables, chosen))
+    keep = values > max(1e-5 * values[-1], 1e-9)
+    white = vectors[:, keep] / np.sqrt(values[keep])
+    x, y = phrase_scores(tables, strings + plain) @ white, np.r_[np.ones(len(strings)), -np.ones(len(plain))]
+    theta, bias = _machine(x, y, np.where(y > 0, max(1.0, len(plain) / len(strings)), 1.0))
+    cut = _best_cut(x @ theta + bias, y)
+    return Phrases(parts, widths, (white @ theta) @ tables, bias - cut)
+
+
 def train(texts: Iterable[str], labels: list[int], landmarks: int = 400, rounds: int = 4, hard: int = 4000, seed: int = 3) -> Model:
     """A model from whole labelled texts."""
     empty = Model(np.zeros(LETTERS**3), -1e-3, 1.0)
@@ -232,12 +382,25 @@ def train(texts: Iterable[str], labels: list[int], landmarks: int = 400, rounds:
     enough, clean = np.log(max(1, len(names)) / 0.01), seen[0]
     by_places, by_documents = _telling(seen, int(seen[1].sum()) / max(1, int(seen[0].sum() + seen[1].sum()))), _telling(within, sum(labels) / len(labels))
     ratio = np.minimum(by_places, by_documents)
+    # a word that clean documents have too, and that toxic ones have in a telling phrase, tells nothing alone
+    found = _telling_phrases(bags, labels, within)
+    for _, words, n in found:
+        for i in words:
+            if within[0][i] and n >= 0.9 * within[1][i]:
+                ratio[i] = 0.0
+    phrases = []
+    for _, words, _ in sorted(found, key=lambda f: (len(f[1]), -f[0], f[1])):
+        inside = {words[a : a + n] for n in range(2, len(words)) for a in range(len(words) - n + 1)}
+        if all(ratio[i] <= enough for i in words) and not inside & set(phrases):
+            phrases.append(words)
     telling_ids = np.flatnonzero(ratio > enough)
     telling_ids = sorted(telling_ids.tolist(), key=lambda i: (-ratio[i], names[i]))
     telling = [names[i] for i in telling_ids]
     plain_ids = sorted(np.flatnonzero((clean > 0) & (ratio <= enough)).tolist(), key=names.__getitem__)
     plain = [names[i] for i in plain_ids]
+    several = _train_phrases(phrases[:PHRASES], names, bags, labels, hard) if phrases else None
     if not telling or not plain:
+        empty.phrases = several
         return empty
     like = Model(folded(telling, np.ones(len(telling)) / len(telling)), 0.0, 1.0).margins(plain)
     by_likeness = np.argsort(-like, kind="stable")
@@ -271,7 +434,7 @@ def train(texts: Iterable[str], labels: list[int], landmarks: int = 400, rounds:
             margins.append(max(worst))
             y.append(1 if label else -1)
     cut = _best_cut(np.array(margins), np.array(y))
-    return Model(model.table, model.bias - cut, 4.0)
+    return Model(model.table, model.bias - cut, 4.0, several)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, label_col: str = "toxic", fold: int = 5, held_out: int = 0, per_class: int = 1000) -> Model:
@@ -296,7 +459,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     shared = spark.sparkContext.broadcast(model)
 
     def scored(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, known = shared.value, {}
+        model, known, close = shared.value, {}, {}
         for texts in frames:
             margins = []
             for a in range(0, len(texts), 512):
@@ -306,7 +469,12 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
                 new = list({w for ws in part for w in ws if w not in known})
                 for b in range(0, len(new), 20_000):
                     known.update(zip(new[b : b + 20_000], model.margins(new[b : b + 20_000]).tolist(), strict=True))
-                margins += [max(map(known.__getitem__, ws), default=model.bias) for ws in part]
+                found = [max(map(known.__getitem__, ws), default=model.bias) for ws in part]
+                if model.phrases is not None:
+                    if len(close) > 300_000:
+                        close.clear()
+                    found = [max(m, model.phrases.margin(t, close)) if t else m for m, t in zip(found, texts.iloc[a : a + 512], strict=True)]
+                margins += found
             yield pd.Series([model.score(m) for m in margins])
 
     udf = F.pandas_udf(scored, "double")

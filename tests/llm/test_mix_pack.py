@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,7 +135,7 @@ def test_packing_against_brute_force(spark, docs_of):
     out = best_fit.pack(docs_of(rows), capacity=50, per_source=2).collect()
     pieces = spark.createDataFrame([(r["doc_id"], r["piece"], r["cluster"], r["n_words"], r["source"]) for r in out], "doc_id long, piece int, cluster long, n int, source string")
     bins, want = [], {}
-    for p in sorted(pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", F.lit(None).cast("long"))).collect(), key=lambda p: (-p["n"], p["draw"])):
+    for p in sorted(pieces.withColumn("draw", F.xxhash64("doc_id", "piece", "cluster", F.lit(1), F.coalesce("source", F.lit("\0")))).collect(), key=lambda p: (-p["n"], p["draw"])):
         fits = [(50 - sum(x["n"] for x in b), i) for i, b in enumerate(bins) if sum(x["n"] for x in b) + p["n"] <= 50 and all(x["cluster"] != p["cluster"] for x in b) and sum(x["source"] == p["source"] for x in b) < 2]
         if not fits:
             bins.append([])
@@ -156,3 +156,11 @@ def test_packing_odd_rows(odd, none):
     same = [r for r in out if r["doc_id"] in (6, 7)]
     assert len({r["bin_id"] for r in same}) == 3
     assert best_fit.pack(none).count() == 0
+
+
+def test_packing_does_not_depend_on_where_rows_lie(docs_of):
+    """Null ids and repeated rows included; one row may be a third of all."""
+    rows = [(None if i % 3 else i, " ".join([f"w{i % 7}"] * (1 + i * 13 % 40)), "ab"[i % 2]) for i in range(300)] + [(None, "hot row", "a")] * 150
+    runs = [best_fit.pack(docs_of(rows).repartition(n), capacity=50, shard_rows=100).select("doc_id", "n_words", "source", "cluster", "bin_id", "start").collect() for n in (1, 5)]
+    assert len(runs[0]) == 450 and sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    assert max(Counter(r["bin_id"].split("-")[0] for r in runs[0] if r["n_words"] == 2 and r["doc_id"] is None).values()) < 75

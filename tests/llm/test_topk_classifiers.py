@@ -152,6 +152,62 @@ def test_toxicity_held_out(tables):
     assert max(model.margins(toxicity.words_of("then other these things in the antire reone"))) < 0
 
 
+def spoken(n, seed):
+    """Clean documents have either word of the insult alone; toxic ones have both in a row, with a short word between them at times."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        w, toxic = [word(rng) for _ in range(rng.randrange(20, 120))], i % 4 == 0
+        for _ in range(3 * toxic):
+            a = rng.randrange(len(w))
+            w[a:a] = rng.choice([["green", "table"], ["green", "a", "table"]])
+        if i % 4 == 1 and i % 20 < 3:
+            w.insert(rng.randrange(len(w)), "green" if i % 8 == 1 else "table")
+        rows.append((i, " ".join(w), int(toxic)))
+    return rows
+
+
+def test_an_insult_of_ordinary_words(spark):
+    rows, others = spoken(400, 1), spoken(400, 2)
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert model.phrases.parts == ["green", "table"] and model.phrases.widths == [2]
+    more = [(1000, "gr-een table", 1), (1001, "a greeen tabxle here", 1), (1002, "g.r.e.e.n table", 1), (1003, "table of green", 0), (1004, "green. Table", 0), (1005, None, 0), (1006, "", 0)]
+    docs = spark.createDataFrame(others + more, "doc_id long, text string, score int").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert {i: s >= 0.5 for i, s in got.items()} == {i: bool(y) for i, _, y in others + more}
+
+
+def test_phrase_margins_against_brute_force():
+    rng = np.random.default_rng(8)
+    phrases = toxicity.Phrases(["dumb", "green", "table"], [2, 3], rng.normal(size=64**3), 0.1)
+
+    def kernel(phrase):
+        codes, total, square = [62, *(0 if c == " " else ord(c) - 96 for c in phrase), 63], 0.0, 0.0
+        for i in range(len(codes)):
+            for j in range(i + 1, len(codes)):
+                for k in range(j + 1, min(i + 7, len(codes))):
+                    w = 0.6 ** (k - i + 1)
+                    total, square = total + w * phrases.table[(codes[i] * 64 + codes[j]) * 64 + codes[k]], square + w * w
+        return total / square**0.5 + 0.1
+
+    for text, windows in [
+        ("A green table, dumb thing", ["green table", "table dumb", "green table dumb"]),
+        ("green. table", []),
+        ("dumb house green of table d.u.m.b", ["green table", "table dumb", "green table dumb"]),
+        ("", []),
+        ("green " * 500, ["green green", "green green green"]),
+    ]:
+        assert phrases.margin(text, {}) == pytest.approx(max(map(kernel, windows), default=-np.inf)), text
+
+
+def test_chance_neighbours_and_copies_are_no_phrases():
+    """One toxic text many times over, and clean words that stand together in both classes."""
+    rows = labelled(300, seed=4)
+    copies = [("unlike pairs follow one another here dumbhead", 1)] * 60
+    texts = [(t + " other things", x) for _, t, _, x in rows] + copies
+    model = toxicity.train([t for t, _ in texts], [x for _, x in texts])
+    assert model.phrases is None
+
+
 def test_table_equals_the_kernel():
     """The folded table gives the sum of kernels, which equals a plain count over common gapped triples."""
 
