@@ -39,7 +39,8 @@ def encode(texts: DataFrame, encoder, key: str = "key", text: str = "embedding_t
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"], "vector": list(np.asarray(encoder.encode(frame["terms"].to_list()), dtype=np.float32))})
 
-    prepared = code_terms(text) if isinstance(encoder, HashedEncoder) else F.col(text)
+    whole = F.coalesce(text, F.lit(""))
+    prepared = code_terms(whole) if isinstance(encoder, HashedEncoder) else whole
     return texts.select(F.col(key).alias("key"), prepared.alias("terms")).mapInPandas(run, "key string, vector array<float>")
 
 

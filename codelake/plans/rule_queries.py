@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import settle
-from ..operators import binding, evaluate, evidence, explore, lexical, reports
+from ..functions.storage import fresh_path, settle
+from ..operators import binding, evaluate, evidence, explore, lexical, reports, structure, vectors
 from ..operators import search as ranking
-from ..sources import capture
-from .queries import _AST, _CODE, _TOKENS, CHUNKS, FILES, _bm25_sql, _bound, _chunks, _queries, _search, _supply, files_of, keyword_index, query, table, terms_sql
+from ..sources import capture, snapshots
+from .queries import _AST, _CODE, _SNAP, _TOKENS, CHUNKS, FILES, ORACLES, _bm25_sql, _bound, _chunks, _queries, _search, _snapshots, _supply, files_of, keyword_index, query, table, terms_sql
+from .queries import register_sources as registered
+from .queries import retrieval_metrics as metrics_of_vectors
 
 def _snap():
     return F.lit("all").alias("snapshot_id")
@@ -237,3 +239,114 @@ def definitions_by_id(spark, sf_dir):
     symbols = files.select("snapshot_id", F.concat(F.lit("s"), (F.col("doc_id") * 2).cast("string")).alias("id"), "path")
     asked = files.select(F.col("doc_id").alias("request_id"), "snapshot_id", F.concat(F.lit("s"), _text("doc_id")).alias("symbol_id"))
     return explore.definition_by_id(asked, symbols).select("request_id", F.col("definition.path").alias("path"), "error")
+
+
+@query(f"""WITH s AS ({ORACLES["register_sources"]}) SELECT source, id, row_number() OVER (ORDER BY id) - 1 AS position FROM s""")
+def listed_sources(spark, sf_dir):
+    """Sources in the order of their import (here that of their ids)."""
+    catalog = registered(spark, sf_dir).withColumn("imported_at", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")))
+    return capture.list_sources(catalog).select("source", "id", "position")
+
+
+@query(f"""WITH {_SNAP} SELECT id, repository_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS position FROM s""")
+def snapshot_history(spark, sf_dir):
+    return snapshots.history(_snapshots(spark, sf_dir)).select("id", "repository_id", "position")
+
+
+_ASKED_WITH = "CASE query_id % 3 WHEN 0 THEN 'bm25' WHEN 1 THEN 'hybrid' ELSE 'vector-only' END"
+
+
+@query(f"""WITH m AS (SELECT {_ASKED_WITH} AS strategy, * FROM ({ORACLES["retrieval_metrics"]})),
+    l AS (SELECT {_ASKED_WITH.replace("query_id", "event_id")} AS strategy, median(value) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY 1)
+    SELECT strategy, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, round(avg(recall_20), 9) AS recall_20, round(avg(mrr_10), 9) AS mrr_10, any_value(p50_ms) AS p50_ms, any_value(p95_ms) AS p95_ms
+    FROM m LEFT JOIN l USING (strategy) GROUP BY strategy""")
+def strategy_summary(spark, sf_dir):
+    """Means of the metrics and latencies of each strategy; queries and events are dealt to strategies by their ids."""
+    strategy = lambda c: F.when(F.col(c) % 3 == 0, "bm25").when(F.col(c) % 3 == 1, "hybrid").otherwise("vector-only").alias("strategy")
+    metrics = metrics_of_vectors(spark, sf_dir).select("*", strategy("query_id"))
+    latencies = table(spark, sf_dir, "events").select(strategy("event_id"), F.col("value").alias("latency_ms"))
+    found = evaluate.summarise(metrics, latencies)
+    return found.select("strategy", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "recall_20", "mrr_10")), "p50_ms", "p95_ms")
+
+
+@query("""
+    SELECT 'json' AS format, doc_id, source, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_parts FROM documents
+    UNION ALL SELECT 'csv', doc_id, source, 0 FROM documents
+    UNION ALL SELECT 'md', count(*), source, 0 FROM documents GROUP BY source""")
+def exported_report(spark, sf_dir):
+    """Rows of a report, written and read back: as JSON, as CSV (flat columns alone), and the lines of its summary's table."""
+    root = fresh_path(spark, "report")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", F.split("text", " ").alias("parts"))
+    reports.export_report(rows, docs.groupBy(F.col("source").alias("strategy")).agg(F.count("*").alias("n")), root)
+    none = F.lit(0).alias("n_parts")
+    as_json = spark.read.schema("doc_id long, source string, parts array<string>").json(f"{root}/rows.json")
+    as_csv = spark.read.schema("doc_id long, source string").option("header", "true").option("enforceSchema", "false").csv(f"{root}/rows.csv")
+    cells = F.split("value", r"\|")
+    lines = spark.read.text(f"{root}/report.md").select(F.trim(F.get(cells, F.lit(2))).try_cast("long").alias("doc_id"), F.trim(F.get(cells, F.lit(1))).alias("source")).where("doc_id is not null")
+    out = as_json.select(F.lit("json").alias("format"), "doc_id", "source", F.size("parts").alias("n_parts"))
+    return out.unionByName(as_csv.select(F.lit("csv").alias("format"), "doc_id", "source", none)).unionByName(lines.select(F.lit("md").alias("format"), "doc_id", "source", none))
+
+
+def _assigning_code(spark, sf_dir) -> DataFrame:
+    """A Python file for each document: a function that assigns a name for each term of each line, a hidden one, an
+    assignment of the module, and in every fifth file a last line that doesn't parse."""
+    own = F.col("doc_id").cast("string")
+    terms = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    lines = F.transform(F.filter(terms, lambda t: F.size(t) > 0), lambda t: F.concat(F.lit("    "), F.array_join(F.transform(t, lambda x: F.concat(F.lit("v_"), x)), " = "), F.lit(" = x\n")))
+    end = F.when(F.col("doc_id") % 5 == 0, "def (:\n").otherwise("")
+    code = F.concat(F.lit("def f"), own, F.lit("(x):\n"), F.array_join(lines, ""), F.lit("    return x\ndef _h"), own, F.lit("():\n    pass\ntop"), own, F.lit(" = f"), own, F.lit("\n"), end)
+    docs = table(spark, sf_dir, "documents")
+    return capture.decoded(docs.select("doc_id", F.lit("all").alias("repository_id"), F.lit("all").alias("snapshot_id"), F.concat(own, F.lit(".py")).alias("path"), code.cast("binary").alias("content")))
+
+
+@query("""
+    WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+    parts AS (SELECT doc_id, regexp_extract_all(line, '[A-Za-z0-9]+') AS t FROM lines WHERE regexp_matches(line, '[A-Za-z0-9]')),
+    names AS (SELECT doc_id, 'v_' || unnest(t) AS name FROM parts),
+    own AS (SELECT doc_id, string_agg(DISTINCT name, ' ' ORDER BY name) AS ls FROM names GROUP BY doc_id)
+    SELECT 'symbol' AS part, d.doc_id || '.py' AS path, 'f' || d.doc_id AS name, 'f' || d.doc_id AS shown, sha256(coalesce(ls || ' ', '') || 'x') AS locals, 1 AS n FROM documents d LEFT JOIN own USING (doc_id)
+    UNION ALL SELECT 'symbol', doc_id || '.py', '_h' || doc_id, '', sha256(''), 1 FROM documents
+    UNION ALL SELECT 'barrier', doc_id || '.py', name, 'f' || doc_id, NULL, count(*) FROM names GROUP BY doc_id, name
+    UNION ALL SELECT 'barrier', doc_id || '.py', 'top' || doc_id, '', NULL, 1 FROM documents
+    UNION ALL SELECT 'error', doc_id || '.py', 'syntax-error', '', NULL, 6 + (SELECT count(*) FROM parts p WHERE p.doc_id = d.doc_id) FROM documents d WHERE doc_id % 5 = 0""")
+def names_of_files(spark, sf_dir):
+    """Symbols with what they export and their local names; barriers with their scope, and how many; errors with their line."""
+    parsed = settle(structure.extract_structure(_assigning_code(spark, sf_dir)), "parsed")
+    part = structure.tables_of(parsed)
+    symbols, none = part["symbols"], F.lit(None).cast("string")
+    row = lambda kind, name, shown, local, n: [F.lit(kind).alias("part"), "path", name.alias("name"), shown.alias("shown"), local.alias("locals"), n.cast("long").alias("n")]
+    named = symbols.select(*row("symbol", F.col("qualified_name"), F.array_join("export_names", ","), F.sha2(F.array_join("locals", " "), 256), F.lit(1)))
+    counted = part["barriers"].groupBy("path", "name", "scope").agg(F.count("*").alias("times"))
+    inside = counted.join(symbols.select("path", F.col("id").alias("scope"), "qualified_name"), ["path", "scope"], "left")
+    errors = part["diagnostics"].select(*row("error", F.col("kind"), F.lit(""), none, F.col("start_line")))
+    return named.unionByName(inside.select(*row("barrier", F.col("name"), F.coalesce("qualified_name", F.lit("")), none, F.col("times")))).unionByName(errors)
+
+
+@query("""
+    WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN './m' || doc_id WHEN 1 THEN '../' || lang || '/../m' || doc_id || '.js' WHEN 2 THEN '@lib/m' || doc_id ELSE 'react' END AS module, source || '/' || lang AS dir, source FROM documents),
+    b AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN dir || '/m' || doc_id WHEN 1 THEN source || '/m' || doc_id || '.js' WHEN 2 THEN 'src/lib/m' || doc_id END AS base FROM i),
+    c AS (SELECT doc_id, base || unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS candidate, unnest([0, 3, 4, 5, 6, 7, 8, 9, 10]) AS k FROM b WHERE base IS NOT NULL
+        UNION ALL SELECT doc_id, left(base, length(base) - 3) || unnest(['.ts', '.tsx']), unnest([1, 2]) FROM b WHERE doc_id % 4 = 1)
+    SELECT doc_id, candidate, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS place FROM c""")
+def script_modules(spark, sf_dir):
+    """Where a script looks for what it imports: beside it, above it under a compiled name, and by a mapped path; packages nowhere."""
+    docs, own, i = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    module = F.when(i == 0, F.concat(F.lit("./m"), own)).when(i == 1, F.concat(F.lit("../"), "lang", F.lit("/../m"), own, F.lit(".js"))).when(i == 2, F.concat(F.lit("@lib/m"), own)).otherwise("react")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), own, F.lit(".ts"))
+    paths = F.create_map(F.lit("@lib/*"), F.array(F.lit("lib/*")))
+    return docs.select("doc_id", F.posexplode(binding.script_candidates(path, module, F.lit("src"), paths)).alias("place", "candidate"))
+
+
+@query(f"""WITH RECURSIVE {FILES}, steps AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+    u AS (SELECT doc_id, unnest({terms_sql("content")}) AS term FROM files), n AS (SELECT doc_id, term, count(*) AS n FROM u GROUP BY ALL), d AS (SELECT DISTINCT term FROM n),
+    h AS (SELECT term, xor(list_reduce(list_transform(string_split(term, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda h, b: xor(h // 256, t[xor(h % 256, b) + 1]), 4294967295), 4294967295) AS h FROM d, steps),
+    w AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN n ELSE -n END) AS w FROM n JOIN h USING (term) GROUP BY ALL)
+    SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, CAST(place AS INTEGER) AS place, round(CAST(CAST(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 6) AS component FROM w WHERE w <> 0""")
+def embedding_components(spark, sf_dir):
+    """What the hashing encoder makes of each whole text; every third document's vector comes from the cache."""
+    keyed = vectors.with_embedding_key(_chunks(spark, sf_dir).withColumn("embedding_text", F.col("excerpt")), vectors.HashedEncoder().fingerprint)
+    cache = vectors.encode(keyed.where("doc_id % 3 = 0").dropDuplicates(["key"]), vectors.HashedEncoder())
+    found, _ = vectors.reuse_embeddings(keyed, settle(cache, "cache"), lambda missing: vectors.encode(missing, vectors.HashedEncoder()))
+    flat = found.select("id", F.posexplode("vector").alias("place", "component")).where("component <> 0")
+    return flat.select("id", "place", F.round(F.col("component").cast("double"), 6).alias("component"))

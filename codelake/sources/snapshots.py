@@ -30,8 +30,9 @@ def metrics(files: DataFrame, chunks: DataFrame, *keys: str, seconds: Column | N
 
 
 def history(snapshots: DataFrame) -> DataFrame:
-    """Newest first in each repository."""
-    return snapshots.orderBy("repository_id", F.desc("created_at"), F.desc("id"))
+    """Newest first in each repository, with the position there (from 1)."""
+    newest = Window.partitionBy("repository_id").orderBy(F.desc("created_at"), F.desc("id"))
+    return snapshots.withColumn("position", F.row_number().over(newest)).orderBy("repository_id", "position")
 
 
 def require_ready(requests: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def rows(frame):
     return sorted((tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", ["capture_eligibility", "snapshot_manifest", "bm25_filtered", "ast_aware_search", "export_closure", "scope_resolve", "definition_at", "graph_neighbors", "citation_status", "report_validation", "published_snapshots", "statement_windows", "sentence_windows", "graph_node_list", "evidence_of_queries", "query_errors", "symbol_postings", "symbol_bm25", "labels_hash", "label_gates", "module_config", "symbols_of_files", "definitions_by_id"])
+@pytest.mark.parametrize("name", ["capture_eligibility", "snapshot_manifest", "bm25_filtered", "ast_aware_search", "export_closure", "scope_resolve", "definition_at", "graph_neighbors", "citation_status", "report_validation", "published_snapshots", "statement_windows", "sentence_windows", "graph_node_list", "evidence_of_queries", "query_errors", "symbol_postings", "symbol_bm25", "labels_hash", "label_gates", "module_config", "symbols_of_files", "definitions_by_id", "listed_sources", "snapshot_history", "strategy_summary", "exported_report", "names_of_files", "script_modules", "embedding_components"])
 def test_queries_match_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
