@@ -11,8 +11,9 @@ another line are done.  For the others, all variants of the part with one charac
 as hashed keys (with their frame), with the place of the deletion: equal variants with the same place
 are one replacement apart, a variant that equals a whole part is one insertion apart.  Equal variants
 are joined, each line with the earliest of its group only, and the edit distance of the pairs that would
-remove a line is verified on their texts.  A part is a quarter of the line, of lines over
-``PARTS * PART_CHARS`` characters under twice ``PART_CHARS``, so lines of any length have few variants.
+remove a line is verified on their texts.  A part is a quarter of the line and up to three characters
+more, of lines over ``PARTS * PART_CHARS`` characters under twice ``PART_CHARS``, so lines of any length
+have few variants.
 
 Scale: lines are counted with partial aggregation before anything is joined; hot lines and frames are
 broadcast (``spread_join``); groups are never expanded to pairs; texts move once, keyed by document.
@@ -60,30 +61,42 @@ def _after(m: Column, i: Column) -> Column:
 
 
 def _bounds(m: Column, i: Column) -> tuple[Column, Column]:
-    """What the frame of part i leaves open: a quarter of a short line; of a long one, part i and up to one more."""
-    quarter = lambda k: F.floor(m.cast("long") * k / PARTS).cast("int")
-    return F.when(_short(m), quarter(i)).otherwise(i * PART_CHARS), F.when(_short(m), quarter(i + 1)).otherwise(m - PART_CHARS * _after(m, i))
+    """What the frame of part i leaves open: of a short line a quarter, and up to three characters more; of a long one, part i and up to one more."""
+    quarter, behind = F.shiftright(m, 2), F.lit(PARTS - 1) - i
+    return F.when(_short(m), i * quarter).otherwise(i * PART_CHARS), m - F.when(_short(m), behind * quarter).otherwise(PART_CHARS * _after(m, i))
 
 
-def _frames(line: Column, n: Column) -> Column:
-    """For both lengths that a pair may be measured by (the own one, one less), and each part: what stands before and after it."""
-    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0)), lambda y: F.xxhash64(y))
-    cut = lambda x: F.when(~_short(n), pieces(x))
-    once = F.array(F.struct(n.alias("n"), cut(line).alias("front"), cut(F.reverse(line)).alias("back")))  # counted and cut once, not in each step
+def _pieces(size: Column, n: Column) -> list[Column]:
+    """Hashes of the first and of the last three pieces of so many characters; of bytes, where each is a character."""
+    starts = [*(size * j + 1 for j in range(PARTS - 1)), *(n - size * j + 1 for j in range(PARTS - 1, 0, -1))]
+    return [F.when(F.col("bytes").isNotNull(), F.xxhash64(F.substring("bytes", x, size))).otherwise(F.xxhash64(F.substring("line", x, size))) for x in starts]
+
 
-    def short(m: Column, n: Column) -> Column:
-        def frame(i: Column) -> Column:
-            a, b = _bounds(m, i)
-            return F.xxhash64(i, m, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
+def _framed(lines: DataFrame) -> DataFrame:
+    """With frames: for both lengths that a pair may be measured by (the own one, one less), and each part, what stands before and after it.
+
+    Each of a short line's pieces is cut and hashed once, and its frames are made of these hashes; the pieces of both lengths are the same in three cases of four.
+    """
+    n, less = F.col("n"), F.col("n") - 1
+    own, other = [f"own_{j}" for j in range(2 * PARTS - 2)], [f"other_{j}" for j in range(2 * PARTS - 2)]
+    rows = lines.withColumn("n", F.length("line"))
+    rows = rows.withColumn("bytes", F.when(F.octet_length("line") == n, F.col("line").cast("binary")))
+    rows = rows.withColumns({k: F.when(_short(less), x) for k, x in zip(own, _pieces(F.shiftright(n, 2), n), strict=True)})
+    same = (F.shiftright(less, 2) == F.shiftright(n, 2)) | ~_short(less)
+    rows = rows.withColumns({k: F.when(same, F.col(x)).otherwise(y) for k, x, y in zip(other, own, _pieces(F.shiftright(less, 2), n), strict=True)})
+    pieces = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0)), lambda y: F.xxhash64(y))
+    once = F.array(F.struct(pieces(F.col("line")).alias("front"), pieces(F.reverse("line")).alias("back")))  # cut once, not in each step
 
-        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), frame)
+    def short(m: Column, names: list[str]) -> Column:
+        return F.array(*(F.xxhash64(F.lit(i), m, *names[:i], *names[PARTS - 1 + i :]) for i in range(PARTS)))
 
     def long(m: Column, c: Column) -> Column:
         frame = lambda i: F.xxhash64(i, m, F.slice(c["front"], 1, i), F.slice(c["back"], 1, _after(m, i)))
         return F.transform(F.sequence(F.lit(0), _parts(m) - 1), frame)
 
-    both = lambda c, role: F.when(_short(c["n"] - role), short(c["n"] - role, c["n"])).otherwise(long(c["n"] - role, c))
-    return F.flatten(F.transform(once, lambda c: F.concat(both(c, 0), both(c, 1))))
+    both = lambda c: F.concat(F.when(_short(n), short(n, own)).otherwise(long(n, c)), F.when(_short(less), short(less, other)).otherwise(long(less, c)))
+    frames = F.when(_short(n), F.concat(short(n, own), short(less, other))).otherwise(F.flatten(F.transform(once, both)))
+    return rows.withColumn("frames", frames).drop("n", "bytes", *own, *other)
 
 
 def _variants(frame: Column, middle: Column, start: Column, role: Column) -> Column:
@@ -142,7 +155,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """no_id, doc_id, text_hash, exact and near: the line numbers (from 0) that go, for documents that have any."""
     lines = docs.select(*_key(id_col, text_col), F.posexplode(_split(text_col)).alias("pos", "line")).where(F.length("line") >= min_chars)
     place = F.struct("no_id", "doc_id", "text_hash", "pos")
-    seen = lines.select("no_id", "doc_id", "text_hash", "pos", F.xxhash64("line").alias("h"), _frames(F.col("line"), F.length("line")).alias("frames"))
+    seen = _framed(lines).select("no_id", "doc_id", "text_hash", "pos", F.xxhash64("line").alias("h"), "frames")
     distinct = seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("frames").alias("frames"))
     distinct = materialise(distinct, "distinct-lines")
     near = near_lines(docs, distinct, id_col=id_col, text_col=text_col).withColumn("near", F.lit(True))
